@@ -5,11 +5,14 @@ removed. Windows are judged on the input.
 
 1. First level, half the length: windows of ``window // 2`` words. Not each of them is shuffled: every full window is
    represented by the smallest hash of the half windows in it, which is the same wherever its words are the same, and a
-   document gives each such hash once (about one for 13 words). Hashes that only one document has die here.
-2. Second level, the full length: only windows whose representative lives are extended to ``window`` words. They are
-   compared document against document: the smallest doc_id with a window keeps it, the others lose it. Windows with a
-   representative that many documents share are first dealt to salted groups by document; whoever is not the smallest of
-   a group is decided there, and only the groups' smallest go on, so that no group has all rows of a hot passage.
+   document gives each such hash once (about one for 13 words), with a sum of the hashes of the full windows that it
+   stands for. Hashes that only one document has die here. Where a smaller document has a hash with the same sum, it has
+   the same full windows, and all of them go.
+2. Second level, the full length: what is left, windows whose representative lives in different surroundings, is extended
+   to ``window`` words. They are compared document against document: the smallest doc_id with a window keeps it, the
+   others lose it. Windows with a representative that many documents share are first dealt to salted groups by document;
+   whoever is not the smallest of a group is decided there, and only the groups' smallest go on, so that no group has all
+   rows of a hot passage.
 3. Doubling ends as no longer window can remove a word that the full length doesn't.
 
 A window is compared by two 64-bit hashes (the half window's and its own). Texts are shuffled once: both joins with them
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Out, batch_of, bound_batches, columns, covered, doc_key, mix64, rows_of, ship, sliding_min, window_hashes, word_hashes
+from .common import Out, batch_of, bound_batches, columns, covered, cut, doc_key, mix64, rows_of, ship, sliding_min, window_hashes, word_hashes
 
 ship(__name__)
 
@@ -43,38 +46,49 @@ def representatives(words: np.ndarray, window: int) -> np.ndarray:
 
 
 def _first_level(window: int):
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("v", pa.int64()), ("around", pa.int64())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out = Out(schema)
         for k, th, text in rows_of(batches, "k", "th", "text"):
             words = (text or b"").split()
             if len(words) >= window:
-                v = np.unique(representatives(word_hashes(words), window)).view(np.int64)
-                if out.add(np.full(len(v), k, np.int64), np.full(len(v), th, np.int64), v):
+                hashed = word_hashes(words)
+                v, full = representatives(hashed, window), mix64(window_hashes(hashed, window), 1)
+                order = np.argsort(v)
+                v = v[order]
+                first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                v, around = v[first], np.add.reduceat(full[order], first)
+                if out.add(np.full(len(v), k, np.int64), np.full(len(v), th, np.int64), v.view(np.int64), around.view(np.int64)):
                     yield out.take()
         yield out.take()
 
     return run
 
 
+def _among(values: list[int], v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where v has one of the values, and which."""
+    known = np.array(values, np.int64).view(np.uint64)
+    order = np.argsort(known)
+    at = np.minimum(np.searchsorted(known[order], v), len(known) - 1)
+    start = np.flatnonzero(known[order][at] == v)
+    return start, order[at[start]]
+
+
 def _second_level(window: int):
     schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("v", pa.int64()), ("h", pa.int64()), ("salts", pa.int32())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out = Out(schema)
-        for k, th, text, alive, salts in rows_of(batches, "k", "th", "text", "alive", "salts"):
+        for k, th, text, alive in rows_of(batches, "k", "th", "text", "alive"):
             if not alive:
                 continue
             words = word_hashes(text.split())
-            alive, salts = np.array(alive, np.int64).view(np.uint64), np.array(salts, np.int32)
-            order = np.argsort(alive)
-            alive, salts = alive[order], salts[order]
             v = representatives(words, window)
-            at = np.minimum(np.searchsorted(alive, v), len(alive) - 1)
-            start = np.flatnonzero(alive[at] == v)
+            start, which = _among([a["v"] for a in alive], v)
+            salts = np.array([a["salts"] for a in alive], np.int32)
             h = window_hashes(words, window)[start]
-            if out.add(np.full(len(start), k, np.int64), np.full(len(start), th, np.int64), start.astype(np.int32), v[start].view(np.int64), h.view(np.int64), salts[at[start]]):
+            if out.add(np.full(len(start), k, np.int64), np.full(len(start), th, np.int64), start.astype(np.int32), v[start].view(np.int64), h.view(np.int64), salts[which]):
                 yield out.take()
         yield out.take()
 
@@ -88,16 +102,18 @@ def _remove(window: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, starts in zip(*columns(batch, "text", "starts"), strict=True):
+            for text, starts, gone in zip(*columns(batch, "text", "starts", "gone"), strict=True):
                 words = (text or b"").split()
-                n = len(words)
-                if starts:
-                    gone = covered(n, np.array(starts, np.int64), window)
+                n, starts = len(words), np.array(starts or [], np.int64)
+                if gone:
+                    starts = np.concatenate([starts, _among(gone, representatives(word_hashes(words), window))[0]])
+                if len(starts):
+                    gone = covered(n, starts, window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
             made = batch_of(MADE, rows)
-            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("k", "th", "text", "starts")]
+            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("k", "th", "text", "starts", "gone")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made.columns], names=[*(batch.schema.names[i] for i in keep), *MADE.names])
 
     return run
@@ -109,17 +125,21 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep: list[str] | None =
     bound_batches(docs.sparkSession)
     others = [c for c in (docs.columns if keep is None else keep) if c not in MADE.names]
     texts = docs.select(*(docs[c].alias(f"c_{c}") for c in others), doc_key().alias("k"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    first = texts.select("k", "th", "text").mapInArrow(_first_level(window), "k long, th long, v long")
-    shared = first.groupBy("v").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    first = texts.select("k", "th", "text").mapInArrow(_first_level(window), "k long, th long, v long, around long")
+    shared = first.groupBy("v").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("alike")).filter("low < high")
     salts = F.when(F.col("n") > HOT, F.ceil(F.sqrt(F.col("n")))).otherwise(1).cast("int").alias("salts")
-    alive = first.join(shared.select("v", salts), "v").groupBy("k", "th").agg(F.collect_list("v").alias("alive"), F.collect_list("salts").alias("salts"))
-    windows = texts.join(alive, ["k", "th"], "left").select("k", "th", "text", "alive", "salts").mapInArrow(_second_level(window), "k long, th long, start int, v long, h long, salts int")
-    spread = windows.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
-    near = spread.withColumn("low", F.min("k").over(W.partitionBy("h", "v", "salt")))
-    decided = near.filter("k > low")
-    lowest = near.filter("k = low and salts > 1").withColumn("low", F.min("k").over(W.partitionBy("h", "v"))).filter("k > low")
-    starts = decided.unionByName(lowest).groupBy("k", "th").agg(F.collect_set("start").alias("starts"))
+    met = first.join(shared.select("v", "low", "alike", salts), "v")
+    same = W.partitionBy("v", "around", F.pmod(F.xxhash64("k"), F.col("salts")))
+    judged = met.withColumn("gone", (F.col("k") > F.min("k").over(same)) | (F.col("alike") & (F.col("k") > F.col("low"))))
+    gone, alive = F.when(F.col("gone"), F.col("v")), F.when(~F.col("gone") & ~F.col("alike"), F.struct("v", "salts"))
+    plan = cut(judged.groupBy("k", "th").agg(F.collect_list(gone).alias("gone"), F.collect_list(alive).alias("alive")))
+    windows = texts.join(plan.select("k", "th", "alive"), ["k", "th"], "left").select("k", "th", "text", "alive").mapInArrow(_second_level(window), "k long, th long, start int, v long, h long, salts int")
+    near = windows.withColumn("low", F.min("k").over(W.partitionBy("h", "v", F.pmod(F.xxhash64("k"), F.col("salts")))))
+    left = near.filter("k > low or salts > 1").withColumn("apart", F.when(F.col("k") > F.col("low"), F.pmod(F.xxhash64("k", "start"), F.lit(1_000_000))).otherwise(-1))
+    lost = left.withColumn("least", F.min("k").over(W.partitionBy("h", "v", "apart"))).filter("apart >= 0 or k > least")
+    starts = lost.groupBy("k", "th").agg(F.collect_set("start").alias("starts"))
+    starts = plan.select("k", "th", "gone").join(starts, ["k", "th"], "left")
     joined = texts.join(starts, ["k", "th"], "left")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("k", "th", "text", "starts")]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("k", "th", "text", "starts", "gone")]
     out = joined.mapInArrow(_remove(window), ", ".join([*fields, "n_words long, n_removed long, kept_sha256 string, kept_text binary"]))
     return out.withColumnsRenamed({f"c_{c}": c for c in others})
