@@ -76,7 +76,7 @@ def _among(values: list[int], v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _second_level(window: int):
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("v", pa.int64()), ("h", pa.int64()), ("salts", pa.int32())])
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("v", pa.int64()), ("h", pa.int64()), ("salts", pa.int32())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out = Out(schema)
@@ -87,8 +87,8 @@ def _second_level(window: int):
             v = representatives(words, window)
             start, which = _among([a["v"] for a in alive], v)
             salts = np.array([a["salts"] for a in alive], np.int32)
-            h = window_hashes(words, window)[start]
-            if out.add(np.full(len(start), k, np.int64), np.full(len(start), th, np.int64), start.astype(np.int32), v[start].view(np.int64), h.view(np.int64), salts[which]):
+            h, once = np.unique(window_hashes(words, window)[start], return_index=True)
+            if out.add(np.full(len(h), k, np.int64), np.full(len(h), th, np.int64), v[start][once].view(np.int64), h.view(np.int64), salts[which][once]):
                 yield out.take()
         yield out.take()
 
@@ -102,18 +102,19 @@ def _remove(window: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, starts, gone in zip(*columns(batch, "text", "starts", "gone"), strict=True):
+            for text, lost, gone in zip(*columns(batch, "text", "lost", "gone"), strict=True):
                 words = (text or b"").split()
-                n, starts = len(words), np.array(starts or [], np.int64)
-                if gone:
-                    starts = np.concatenate([starts, _among(gone, representatives(word_hashes(words), window))[0]])
-                if len(starts):
-                    gone = covered(n, starts, window)
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                n = len(words)
+                if lost or gone:
+                    hashed = word_hashes(words)
+                    starts = [_among(lost, window_hashes(hashed, window))[0]] if lost else []
+                    starts += [_among(gone, representatives(hashed, window))[0]] if gone else []
+                    out = covered(n, np.concatenate(starts), window)
+                    words = [w for w, g in zip(words, out.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
             made = batch_of(MADE, rows)
-            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("k", "th", "text", "starts", "gone")]
+            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("k", "th", "text", "lost", "gone")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made.columns], names=[*(batch.schema.names[i] for i in keep), *MADE.names])
 
     return run
@@ -133,13 +134,13 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep: list[str] | None =
     judged = met.withColumn("gone", (F.col("k") > F.min("k").over(same)) | (F.col("alike") & (F.col("k") > F.col("low"))))
     gone, alive = F.when(F.col("gone"), F.col("v")), F.when(~F.col("gone") & ~F.col("alike"), F.struct("v", "salts"))
     plan = cut(judged.groupBy("k", "th").agg(F.collect_list(gone).alias("gone"), F.collect_list(alive).alias("alive")))
-    windows = texts.join(plan.select("k", "th", "alive"), ["k", "th"], "left").select("k", "th", "text", "alive").mapInArrow(_second_level(window), "k long, th long, start int, v long, h long, salts int")
+    # all columns go to both joins of the texts, so that both read one exchange
+    windows = texts.join(plan.select("k", "th", "alive"), ["k", "th"], "left").mapInArrow(_second_level(window), "k long, th long, v long, h long, salts int")
     near = windows.withColumn("low", F.min("k").over(W.partitionBy("h", "v", F.pmod(F.xxhash64("k"), F.col("salts")))))
-    left = near.filter("k > low or salts > 1").withColumn("apart", F.when(F.col("k") > F.col("low"), F.pmod(F.xxhash64("k", "start"), F.lit(1_000_000))).otherwise(-1))
+    left = near.filter("k > low or salts > 1").withColumn("apart", F.when(F.col("k") > F.col("low"), F.pmod(F.xxhash64("k"), F.lit(1_000_000))).otherwise(-1))
     lost = left.withColumn("least", F.min("k").over(W.partitionBy("h", "v", "apart"))).filter("apart >= 0 or k > least")
-    starts = lost.groupBy("k", "th").agg(F.collect_set("start").alias("starts"))
-    starts = plan.select("k", "th", "gone").join(starts, ["k", "th"], "left")
-    joined = texts.join(starts, ["k", "th"], "left")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("k", "th", "text", "starts", "gone")]
+    lost = plan.select("k", "th", "gone").join(lost.groupBy("k", "th").agg(F.collect_set("h").alias("lost")), ["k", "th"], "left")
+    joined = texts.join(lost, ["k", "th"], "left")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("k", "th", "text", "lost", "gone")]
     out = joined.mapInArrow(_remove(window), ", ".join([*fields, "n_words long, n_removed long, kept_sha256 string, kept_text binary"]))
     return out.withColumnsRenamed({f"c_{c}": c for c in others})
