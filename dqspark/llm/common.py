@@ -12,6 +12,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Stands for a null doc_id wherever ids are compared or joined: smaller than any other id.
 NULL_ID = -(2**63)
@@ -56,6 +57,21 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def few(df: DataFrame, h: Column, most: int, by: str | None = None) -> DataFrame:
+    """The ``most`` rows of least hash (of each value of column ``by``), a uniform sample of rows.
+
+    Rows are counted first, and only those whose hash is below about twice the wanted share go on to be ranked: what
+    is ranked is bounded by the sample and not by the table.
+    """
+    hashed = df.withColumn("_u", F.shiftrightunsigned(h, 1) / F.lit(2.0**63))
+    if by is None:
+        return hashed.filter(F.col("_u") < F.lit((2.0 * most + 100) / max(1, df.count()))).orderBy("_u", *df.columns).limit(most).drop("_u")
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))  # a row for each value of by
+    near = hashed.join(counts, by).filter(F.col("_u") < F.lit(2.0 * most + 100) / F.col("_n"))
+    ranked = near.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy("_u", *df.columns)))
+    return ranked.filter(F.col("_i") <= most).drop("_u", "_n", "_i")
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The finaliser of splitmix64."""
     z = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, columns, held_out, ship, word_hashes
+from .common import bound_batches, columns, cut, few, held_out, ship, word_hashes
 
 ship(__name__)
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
-#: Standard deviations by which a word's count must leave chance, and the least difference of texts.
-SURE, LEAST = 3.5, 3.0
+#: Standard deviations by which a word's count must leave chance, the least difference of texts, words at most.
+SURE, LEAST, MOST = 3.5, 4.0, 20_000
 THRESHOLD = 0.3
 #: Characters of the beginnings of longer words that are features besides the words.
 STEMS = (4, 5, 6)
@@ -65,18 +65,28 @@ def identity_groups() -> list[np.ndarray]:
 
 def _features(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [features(t).tobytes() for t in columns(batch, "text")[0]]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(made, pa.binary())], names=["toxic", "words"])
+        made = [features(t).view(np.int64) for t in columns(batch, "text")[0]]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(made, pa.list_(pa.int64()))], names=["toxic", "words"])
 
 
-def select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Words that tell the classes apart beyond chance, and identity terms that occur."""
-    words, at = np.unique(np.concatenate(rows), return_inverse=True)
-    lengths = np.array([len(r) for r in rows])
-    all_, toxic = np.bincount(at, minlength=len(words)), np.bincount(at, weights=np.repeat(y, lengths), minlength=len(words))
-    p = y.mean()
-    sure = np.abs(toxic - p * all_) > np.maximum(LEAST, SURE * np.sqrt(all_ * p * (1 - p)))
-    return words[sure | np.isin(words, np.concatenate(identity_groups()))]
+def select(sample: DataFrame) -> np.ndarray:
+    """Words that tell the classes apart beyond chance (the surest ``MOST`` of them), and identity terms that occur."""
+    n, k = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).head()
+    p, terms = k / max(1, n), np.concatenate(identity_groups()).view(np.int64).tolist()
+    words = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    far, sd = F.abs(F.col("k") - p * F.col("n")), F.sqrt(F.col("n") * (p * (1 - p)))
+    is_term = F.col("word").isin(terms)
+    sure = words.filter((far > F.greatest(F.lit(LEAST), SURE * sd)) | is_term).orderBy(F.desc(is_term), F.desc(far / sd), "word").limit(MOST)
+    return np.sort(np.array([r.word for r in sure.select("word").collect()], np.int64).view(np.uint64))
+
+
+def _selected(held):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(r := np.array(w, np.int64).view(np.uint64))[np.isin(r, held.value)].view(np.int64) for w in columns(batch, "words")[0]]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(made, pa.list_(pa.int64()))], names=["toxic", "words"])
+
+    return run
 
 
 def swaps(rows: list[np.ndarray], words: np.ndarray) -> dict[tuple[int, int], int]:
@@ -94,13 +104,13 @@ def swaps(rows: list[np.ndarray], words: np.ndarray) -> dict[tuple[int, int], in
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, l2: float = 0.05, counterfactual: float = 1.0, steps: int = 400) -> dict:
-    """Words, weights and intercept."""
+    """Words, weights and intercept, from the selected words of each row."""
     n, k = len(rows), float(y.sum()) if len(y) else 0.0
     base = float(np.log((k + 0.5) / (n - k + 0.5))) if n else -2.0
     if n == 0 or k in (0.0, float(n)):
         return {"words": np.zeros(0, np.uint64), "weights": np.zeros(0), "intercept": base}
-    words = select(rows, y)
-    held = [np.searchsorted(words, r[np.isin(r, words)]) for r in rows]
+    words = np.unique(np.concatenate(rows))
+    held = [np.searchsorted(words, r) for r in rows]
     at, row = np.concatenate(held).astype(np.int64), np.repeat(np.arange(n), [len(h) for h in held])
     pairs = swaps([words[h] for h in held], words)
     i, j, often = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64), np.array(list(pairs.values()), np.float64)
@@ -122,10 +132,12 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 42) -> dict:
     """Model from labels of documents that aren't held out; the sample of labels is small enough to be broadcast."""
     bound_batches(docs.sparkSession)
     own = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    sample = own.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "toxic").limit(SAMPLE)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    rows = sorted(texts.mapInArrow(_features, "toxic int, words binary").collect(), key=lambda r: (r.toxic, bytes(r.words)))
-    return fit([np.frombuffer(r.words, np.uint64) for r in rows], np.array([float(r.toxic != 0) for r in rows]))
+    chosen = few(own.select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic")), F.xxhash64("doc_id", F.lit(seed)), SAMPLE)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = cut(texts.mapInArrow(_features, "toxic int, words array<long>"))
+    held = docs.sparkSession.sparkContext.broadcast(select(sample))
+    rows = sorted((r.toxic, tuple(r.words)) for r in sample.mapInArrow(_selected(held), "toxic int, words array<long>").collect())
+    return fit([np.array(w, np.int64).view(np.uint64) for _, w in rows], np.array([float(t) for t, _ in rows]))
 
 
 def score_one(text: str | None, model: dict) -> float:
