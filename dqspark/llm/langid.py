@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import bound_batches, columns, held_out, ship
+from .common import bound_batches, columns, few, held_out, ship
 
 ship(__name__)
 
@@ -111,10 +110,10 @@ def train(docs: DataFrame, seed: int = 42) -> dict:
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = labelled.select("lang").distinct().count()
     h = F.xxhash64("doc_id", F.lit(seed))
-    quota = max(1, SAMPLE // max(1, known))
-    first = labelled.select("lang", h.alias("h"), "text").withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("i") <= quota)
-    # the filter on the rank runs before the exchange too, so that a task sends no more rows of a language than the quota
-    rows = sorted(first.select("lang", "h", "text").mapInArrow(_features, "lang string, h long, at binary, counts binary").collect(), key=lambda r: (r.h, r.lang, r["at"]))
+    chosen = few(labelled.select("doc_id", "lang"), h, max(1, SAMPLE // max(1, known)), "lang")
+    # ids alone are ranked; SAMPLE of them at most are broadcast, so texts aren't shuffled
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct().withColumnsRenamed({"doc_id": "id", "lang": "l"})), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")))
+    rows = sorted(texts.select("lang", h.alias("h"), "text").mapInArrow(_features, "lang string, h long, at binary, counts binary").collect(), key=lambda r: (r.h, r.lang, r["at"]))
     rows = [r for r in rows if len(r["at"])]
     languages = sorted({r.lang for r in rows})
     if len(languages) < 2:
