@@ -67,7 +67,7 @@ def few(df: DataFrame, h: Column, most: int, by: str | None = None) -> DataFrame
     if by is None:
         return hashed.filter(F.col("_u") < F.lit((2.0 * most + 100) / max(1, df.count()))).orderBy("_u", *df.columns).limit(most).drop("_u")
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))  # a row for each value of by
-    near = hashed.join(counts, by).filter(F.col("_u") < F.lit(2.0 * most + 100) / F.col("_n"))
+    near = hashed.join(F.broadcast(counts), by).filter(F.col("_u") < F.lit(2.0 * most + 100) / F.col("_n"))
     ranked = near.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy("_u", *df.columns)))
     return ranked.filter(F.col("_i") <= most).drop("_u", "_n", "_i")
 
