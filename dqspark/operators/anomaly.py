@@ -189,7 +189,7 @@ def inject(df: DataFrame, n: int = 25) -> DataFrame:
     p = F.expr("case _i % 4 when 0 then 25000 + 35000 * u when 3 then 2000 + 7000 * u else 1 + 9 * u end")
     made = numbered.withColumn("u", u).select((F.col("row_id") + 1_000_000_000).alias("row_id"), q.cast("double").alias("Quantity"), F.round(p, 2).cast("double").alias("UnitPrice"), kind.alias("anomaly_type"), F.lit(1).alias("label"))
     own = df.select("row_id", F.col("Quantity").cast("double").alias("Quantity"), F.col("UnitPrice").cast("double").alias("UnitPrice"), F.lit(None).cast("string").alias("anomaly_type"), F.lit(0).alias("label"))
-    return own.unionByName(made).withColumn("LineValue", F.round(F.col("Quantity") * F.col("UnitPrice"), 2))
+    return own.unionByName(made).withColumn("LineValue", F.round(F.col("Quantity") * F.col("UnitPrice"), 2) + F.lit(0.0))
 
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -12,7 +12,7 @@ def extract(df: DataFrame) -> DataFrame:
     """LineValue, three flags and six calendar parts, where they are absent."""
     d, q, p = F.col("InvoiceDate"), num("Quantity"), num("UnitPrice")
     new = {
-        "LineValue": F.bround(q * p, 2), "IsCancellation": yes(F.col("InvoiceNo").startswith("C")), "IsReturn": yes(q < 0), "IsGiveaway": yes(p == 0),
+        "LineValue": F.bround(q * p, 2) + F.lit(0.0), "IsCancellation": yes(F.col("InvoiceNo").startswith("C")), "IsReturn": yes(q < 0), "IsGiveaway": yes(p == 0),
         "InvoiceYear": F.year(d), "InvoiceMonth": F.month(d), "InvoiceDay": F.dayofmonth(d), "InvoiceHour": F.hour(d), "InvoiceWeekday": F.weekday(d), "InvoiceQuarter": F.quarter(d),
     }
     return df.withColumns({k: v for k, v in new.items() if k not in df.columns})

@@ -24,7 +24,7 @@ q, p, cancelled = num("Quantity"), num("UnitPrice"), yes(F.col("InvoiceNo").star
 
 
 def line_value() -> Column:
-    return F.round(q * p, 2)
+    return F.round(q * p, 2) + F.lit(0.0)  # no negative zero
 
 
 def _outside(x: Column, low: float, high: float) -> Column:

@@ -92,7 +92,7 @@ query("normalize_text", NORMAL + " SELECT row_id, StockCode, Description, Countr
 query("country_alias", f"SELECT DISTINCT Country AS raw, {resolved('Country')} AS country FROM retail")(lambda r: r.select(F.col("Country").alias("raw")).distinct().withColumn("country", country(F.col("raw"))))
 query("parse_dates", "SELECT count(*) AS n, count(try_cast(strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP)) AS n_parsed FROM retail")(lambda r: r.agg(F.count(F.lit(1)).alias("n"), F.count(F.try_to_timestamp(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("n_parsed")))
 query("regex_probe", "SELECT " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(StockCode, '{A[k]}')) AS n_{k}" for k in PATTERNS) + " FROM retail")(lambda r: r.agg(*(F.count_if(F.col("StockCode").rlike(p)).alias(f"n_{k}") for k, p in PATTERNS.items())))
-query("line_value", "SELECT row_id, round(Quantity * UnitPrice, 2) AS line_value FROM retail")(lambda r: r.select("row_id", rules.line_value().alias("line_value")))
+query("line_value", "SELECT row_id, round(Quantity * UnitPrice, 2) + 0.0 AS line_value FROM retail")(lambda r: r.select("row_id", rules.line_value().alias("line_value")))
 query("date_parts", "SELECT row_id, CAST(year(InvoiceDate) AS INT) AS y, CAST(month(InvoiceDate) AS INT) AS m, CAST(day(InvoiceDate) AS INT) AS d, CAST(hour(InvoiceDate) AS INT) AS h, CAST(isodow(InvoiceDate) - 1 AS INT) AS wd, CAST(quarter(InvoiceDate) AS INT) AS q FROM retail")(lambda r: r.select("row_id", F.year("InvoiceDate").alias("y"), F.month("InvoiceDate").alias("m"), F.dayofmonth("InvoiceDate").alias("d"), F.hour("InvoiceDate").alias("h"), F.weekday("InvoiceDate").alias("wd"), F.quarter("InvoiceDate").alias("q")))
 query("line_flags", "SELECT row_id, starts_with(InvoiceNo, 'C') AS is_cancellation, coalesce(Quantity < 0, false) AS is_return, coalesce(UnitPrice = 0, false) AS is_giveaway FROM retail")(lambda r: features.extract(r).select("row_id", F.col("IsCancellation").alias("is_cancellation"), F.col("IsReturn").alias("is_return"), F.col("IsGiveaway").alias("is_giveaway")))
 query("country_unknown", f"SELECT row_id, Country FROM retail WHERE Country NOT IN ({quoted(COUNTRIES)})")(lambda r: r.filter(~F.col("Country").isin(COUNTRIES)).select("row_id", "Country"))
@@ -154,7 +154,7 @@ query("knn_impute")(lambda r: anomaly.knn_impute(r.withColumn("UnitPrice", F.whe
 query("knn_verify")(anomaly.knn_verify)
 
 # --- features and scores
-query("extract_features", "SELECT row_id, round_even(Quantity * UnitPrice, 2) AS LineValue, starts_with(InvoiceNo, 'C') AS IsCancellation, Quantity < 0 AS IsReturn, UnitPrice = 0 AS IsGiveaway, CAST(isodow(InvoiceDate) - 1 AS INT) AS InvoiceWeekday, CAST(quarter(InvoiceDate) AS INT) AS InvoiceQuarter FROM retail")(lambda r: features.extract(r).select("row_id", "LineValue", "IsCancellation", "IsReturn", "IsGiveaway", "InvoiceWeekday", "InvoiceQuarter"))
+query("extract_features", "SELECT row_id, round_even(Quantity * UnitPrice, 2) + 0.0 AS LineValue, starts_with(InvoiceNo, 'C') AS IsCancellation, Quantity < 0 AS IsReturn, UnitPrice = 0 AS IsGiveaway, CAST(isodow(InvoiceDate) - 1 AS INT) AS InvoiceWeekday, CAST(quarter(InvoiceDate) AS INT) AS InvoiceQuarter FROM retail")(lambda r: features.extract(r).select("row_id", "LineValue", "IsCancellation", "IsReturn", "IsGiveaway", "InvoiceWeekday", "InvoiceQuarter"))
 SCALED = "SELECT row_id, round((Quantity - avg(Quantity) OVER ()) / stddev_pop(Quantity) OVER (), 6) AS Quantity_scaled, round((UnitPrice - avg(UnitPrice) OVER ()) / stddev_pop(UnitPrice) OVER (), 6) AS UnitPrice_scaled FROM retail"
 query("scale_features", SCALED)(lambda r: features.scale(r, MEASURES).select("row_id", *(F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in MEASURES)))
 query("scaled_features", SCALED + " WHERE Quantity IS NOT NULL AND UnitPrice IS NOT NULL")(lambda r: features.scale(r.dropna(subset=MEASURES), MEASURES).select("row_id", *(F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in MEASURES)))
@@ -184,7 +184,7 @@ RANKED = "WITH t AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b F
 AVG_RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE) / count(*) OVER ()"
 query("combined_rank", RANKED + f" SELECT p_partkey, round(({AVG_RANK.format('a')} + {AVG_RANK.format('b')}) / 2, 6) AS combined FROM t", on="part")(lambda p: anomaly.combined_rank(p.select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), "a", "b").select("p_partkey", F.round("combined", 6).alias("combined")))
 query("anomaly_topk", RANKED + ", u AS (SELECT p_partkey, a, b, row_number() OVER (ORDER BY a DESC, p_partkey) <= 10 AS ta, row_number() OVER (ORDER BY b DESC, p_partkey) <= 10 AS tb FROM t) SELECT p_partkey, a, b, CASE WHEN ta AND tb THEN 'both' WHEN ta THEN 'a' ELSE 'b' END AS source FROM u WHERE ta OR tb", on="part")(lambda p: anomaly.top_union(p.select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), "a", "b", ["p_partkey"]))
-query("inject_anomalies", ", b AS (SELECT row_id, r, row_number() OVER (ORDER BY r, row_id) - 1 AS i, r / 2147483648.0::DOUBLE AS u FROM (SELECT row_id, (row_id * 1103515245 + 12345) % 2147483648 AS r FROM retail) ORDER BY r, row_id LIMIT 100), m AS (SELECT row_id + 1000000000 AS row_id, CAST(CASE i % 4 WHEN 0 THEN 1 + floor(12 * u) WHEN 1 THEN 15000 + floor(45000 * u) WHEN 2 THEN -60000 + floor(45000 * u) ELSE 300 + floor(600 * u) END AS DOUBLE) AS Quantity, round(CASE i % 4 WHEN 0 THEN 25000 + 35000 * u WHEN 3 THEN 2000 + 7000 * u ELSE 1 + 9 * u END, 2) AS UnitPrice, ['extreme_price', 'extreme_quantity', 'extreme_return', 'odd_combo'][i % 4 + 1] AS anomaly_type, 1 AS label FROM b), a AS (SELECT row_id, Quantity, UnitPrice, NULL AS anomaly_type, 0 AS label FROM retail UNION ALL SELECT * FROM m) SELECT *, round(Quantity * UnitPrice, 2) AS LineValue FROM a")(lambda r: anomaly.inject(r))
+query("inject_anomalies", ", b AS (SELECT row_id, r, row_number() OVER (ORDER BY r, row_id) - 1 AS i, r / 2147483648.0::DOUBLE AS u FROM (SELECT row_id, (row_id * 1103515245 + 12345) % 2147483648 AS r FROM retail) ORDER BY r, row_id LIMIT 100), m AS (SELECT row_id + 1000000000 AS row_id, CAST(CASE i % 4 WHEN 0 THEN 1 + floor(12 * u) WHEN 1 THEN 15000 + floor(45000 * u) WHEN 2 THEN -60000 + floor(45000 * u) ELSE 300 + floor(600 * u) END AS DOUBLE) AS Quantity, round(CASE i % 4 WHEN 0 THEN 25000 + 35000 * u WHEN 3 THEN 2000 + 7000 * u ELSE 1 + 9 * u END, 2) AS UnitPrice, ['extreme_price', 'extreme_quantity', 'extreme_return', 'odd_combo'][i % 4 + 1] AS anomaly_type, 1 AS label FROM b), a AS (SELECT row_id, Quantity, UnitPrice, NULL AS anomaly_type, 0 AS label FROM retail UNION ALL SELECT * FROM m) SELECT *, round(Quantity * UnitPrice, 2) + 0.0 AS LineValue FROM a")(lambda r: anomaly.inject(r))
 LABELLED = "WITH j AS (SELECT doc_id, quality, n_chars, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id))"
 
 
@@ -243,7 +243,7 @@ def classified(names: dict[str, str]) -> str:
 
 DECOYS = {"Description": "Country", "Quantity": "UnitPrice", "Country": "Email"}
 query("column_signals", SIGNALS + " SELECT * FROM sig")(lambda r: classify.signals(r, CANONICAL))
-query("semantic_scores", SCORES + ' SELECT "column", CAST(i AS INT) AS i, semantic, score FROM sc')(lambda r: classify.scores(classify.signals(r, CANONICAL)))
+query("semantic_scores", SCORES + ' SELECT "column", CAST(i AS INT) AS i, semantic, round(score, 4) AS score FROM sc')(lambda r: classify.scores(classify.signals(r, CANONICAL)).withColumn("score", F.round("score", 4)))
 query("classify_columns", classified({}))(lambda r: classify.classify(r, CANONICAL))
 query("mislabel_demo", classified(DECOYS))(lambda r: classify.classify(r, CANONICAL, DECOYS))
 TERMS = "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
