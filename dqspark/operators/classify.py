@@ -31,12 +31,14 @@ def signals(df: DataFrame, columns: list[str] | None = None, n: int | None = Non
     """Rates of a column's values by content: all of them, or those of the n rows first by key."""
     columns = columns or [c for c in df.columns if c != key]
     own = df.orderBy(key).limit(n) if n else df
-    each = own.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), render(own, c).alias("v")) for c in columns))).alias("x")).select("x.*").withColumn("t", strip(F.col("v")))
-    t, v = F.col("t"), F.col("v").isNotNull()
-    rate = lambda c: F.round(F.coalesce(F.avg(F.when(v, c.cast("double"))), F.lit(0.0)), 6)
+    each = own.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), render(own, c).alias("v")) for c in columns))).alias("x")).select("x.*").groupBy("column", "v").agg(F.count(F.lit(1)).alias("m")).withColumn("t", strip(F.col("v")))
+    # each distinct value is judged once and weighs as many rows as have it
+    t, v, m = F.col("t"), F.col("v").isNotNull(), F.col("m")
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.sum(F.when(v, c.cast("double") * m)), F.sum(F.when(v, m)).cast("double")), F.lit(0.0)), 6)
     x = num("t")
     out = each.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((~v).cast("double")), 6).alias("null_rate"),
+        F.sum(m).alias("n"), F.round(F.sum(F.when(v, 0).otherwise(m)) / F.sum(m), 6).alias("null_rate"),
+        F.count_if(v).alias("n_unique"), F.round(F.coalesce(F.try_divide(F.count_if(v).cast("double"), F.sum(F.when(v, m)).cast("double")), F.lit(0.0)), 6).alias("cardinality"),
         rate(F.size(F.split(t, r"\s+"))).alias("avg_tokens"), rate(F.length(F.regexp_replace(t, "[^A-Za-z]", "")) / F.greatest(F.length(t), F.lit(1))).alias("alpha_ratio"),
         rate(t.rlike(PATTERNS["float"])).alias("numeric_rate"), rate(t.rlike(PATTERNS["int"])).alias("int_rate"), F.coalesce(F.max((v & (x < 0)).cast("int")), F.lit(0)).alias("has_negative"),
         F.coalesce(F.max((v & t.rlike(PATTERNS["float"]) & (x % 1 != 0)).cast("int")), F.lit(0)).alias("has_decimals"), rate(t.rlike(r"^\d{4}-\d{2}-\d{2}")).alias("datetime_rate"),
@@ -44,8 +46,7 @@ def signals(df: DataFrame, columns: list[str] | None = None, n: int | None = Non
         rate(t.rlike(PATTERNS["invoice"])).alias("invoice_rate"), rate(t.rlike(PATTERNS["cancelled"])).alias("cancelled_rate"), rate(t.rlike(r"^\d{5}[A-Za-z]{0,2}$")).alias("sku_rate"), rate(t.rlike(PATTERNS["suffix"])).alias("suffix_rate"),
         rate(t.rlike(PATTERNS["price"])).alias("price_rate"), rate(F.upper(t).isin([c.upper() for c in (*COUNTRIES, "EIRE", "USA", "UK")])).alias("country_rate"), rate(t.rlike(r"^1[2-9]\d{3}$")).alias("block_rate"),
     )
-    distinct = each.filter(v).groupBy("column", "v").agg(F.count(F.lit(1)).alias("m")).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("m").alias("full"))
-    return out.join(distinct, "column", "left").withColumn("cardinality", F.round(F.coalesce(F.try_divide(F.col("n_unique").cast("double"), F.col("full").cast("double")), F.lit(0.0)), 6)).drop("full").fillna(0, ["n_unique"])
+    return out
 
 
 def scores(sig: DataFrame) -> DataFrame:

@@ -70,20 +70,18 @@ def column_profile(df: DataFrame) -> DataFrame:
     return n.join(u, "column", "left").select("column", "n_rows", "n_null", F.round(100.0 * F.col("n_null") / F.col("n_rows"), 2).alias("null_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "min_text", "max_text")
 
 
-def _shape(v: Column) -> dict[str, Column]:
-    t = strip(v)
-    return {
-        "n": F.count(v), "n_int": F.count_if(t.rlike(PATTERNS["int"])), "n_float": F.count_if(t.rlike(PATTERNS["float"])),
-        "n_dateish": F.count_if(t.rlike("[-/:]") | t.rlike(MONTHS)), "n_date": F.count_if(F.try_to_timestamp(t).isNotNull() & t.rlike("[-/:]")),
-        "n_bool": F.count_if(F.lower(t).isin("true", "false", "0", "1")), "n_suffix": F.count_if(t.rlike(r"^\d+[A-Za-z]+$")), "n_cancelled": F.count_if(t.rlike(PATTERNS["cancelled"])), "n_blank": F.count_if(t == ""),
-        "n_email": F.count_if(t.rlike(PATTERNS["email"])), "n_url": F.count_if(t.rlike(PATTERNS["url"])), "n_phone": F.count_if(t.rlike(PATTERNS["phone"])),
-    }
-
-
 def shapes(df: DataFrame) -> DataFrame:
-    """Counts of values of each shape by column, with the number of distinct values."""
-    t = tall(df)
-    return t.groupBy("column").agg(*(x.alias(k) for k, x in _shape(F.col("value")).items())).join(distinct_values(df).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")), "column", "left").fillna(0, ["n_unique"])
+    """Counts of values of each shape by column, with the number of distinct values. Each distinct value is judged once
+    and weighs as many rows as have it."""
+    t = strip(F.col("value"))
+    preds = {
+        "n_int": t.rlike(PATTERNS["int"]), "n_float": t.rlike(PATTERNS["float"]), "n_dateish": t.rlike("[-/:]") | t.rlike(MONTHS), "n_date": F.try_to_timestamp(t).isNotNull() & t.rlike("[-/:]"),
+        "n_bool": F.lower(t).isin("true", "false", "0", "1"), "n_suffix": t.rlike(r"^\d+[A-Za-z]+$"), "n_cancelled": t.rlike(PATTERNS["cancelled"]), "n_blank": t == "",
+        "n_email": t.rlike(PATTERNS["email"]), "n_url": t.rlike(PATTERNS["url"]), "n_phone": t.rlike(PATTERNS["phone"]),
+    }
+    each = tall(df).groupBy("column", "value").agg(F.count(F.lit(1)).alias("m"))
+    total = lambda p: F.coalesce(F.sum(F.when(p, F.col("m"))), F.lit(0))
+    return each.groupBy("column").agg(total(F.col("value").isNotNull()).alias("n"), F.count("value").alias("n_unique"), *(total(p).alias(k) for k, p in preds.items()))
 
 
 def infer_dtype(df: DataFrame) -> DataFrame:

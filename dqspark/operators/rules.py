@@ -20,11 +20,21 @@ class Rule:
     build: Callable[[Contract], Column]
 
 
-q, p, cancelled = num("Quantity"), num("UnitPrice"), yes(F.col("InvoiceNo").startswith("C"))
+# Functions, as a column expression needs a session and this module is imported before one is there.
+def q() -> Column:
+    return num("Quantity")
+
+
+def p() -> Column:
+    return num("UnitPrice")
+
+
+def cancelled() -> Column:
+    return yes(F.col("InvoiceNo").startswith("C"))
 
 
 def line_value() -> Column:
-    return F.round(q * p, 2) + F.lit(0.0)  # no negative zero
+    return F.round(q() * p(), 2) + F.lit(0.0)  # no negative zero
 
 
 def _outside(x: Column, low: float, high: float) -> Column:
@@ -42,15 +52,15 @@ def _customer(c: Contract) -> Column:
 
 
 RULES = [
-    Rule("unitprice_negative", "price", "hard", lambda c: yes(p < 0)),
-    Rule("unitprice_above_cap", "price", "hard", lambda c: yes(p > c.price_cap)),
-    Rule("quantity_zero", "quantity", "hard", lambda c: yes(q == 0)),
-    Rule("quantity_out_of_bounds", "quantity", "hard", lambda c: _outside(q, -c.quantity_bound, c.quantity_bound)),
-    Rule("quantity_bulk", "quantity", "review", lambda c: yes(F.abs(q) > c.quantity_bulk)),
-    Rule("quantity_atypical", "quantity", "info", lambda c: _outside(q, *c.quantity_plausible)),
-    Rule("unitprice_premium", "price", "review", lambda c: yes(p > c.price_premium)),
+    Rule("unitprice_negative", "price", "hard", lambda c: yes(p() < 0)),
+    Rule("unitprice_above_cap", "price", "hard", lambda c: yes(p() > c.price_cap)),
+    Rule("quantity_zero", "quantity", "hard", lambda c: yes(q() == 0)),
+    Rule("quantity_out_of_bounds", "quantity", "hard", lambda c: _outside(q(), -c.quantity_bound, c.quantity_bound)),
+    Rule("quantity_bulk", "quantity", "review", lambda c: yes(F.abs(q()) > c.quantity_bulk)),
+    Rule("quantity_atypical", "quantity", "info", lambda c: _outside(q(), *c.quantity_plausible)),
+    Rule("unitprice_premium", "price", "review", lambda c: yes(p() > c.price_premium)),
     Rule("linevalue_extreme", "price", "review", lambda c: yes(F.abs(line_value()) > c.line_extreme)),
-    Rule("unitprice_giveaway", "price", "info", lambda c: yes(p == 0)),
+    Rule("unitprice_giveaway", "price", "info", lambda c: yes(p() == 0)),
     Rule("country_unknown", "category", "hard", lambda c: yes(~F.col("Country").isin(c.countries))),
     Rule("country_rare", "category", "review", lambda c: F.col("Country").isNotNull() & (F.col("_n_country") <= c.rare_country)),
     Rule("customerid_out_of_block", "category", "hard", _customer),
@@ -58,8 +68,8 @@ RULES = [
     Rule("stockcode_format", "format", "hard", lambda c: F.coalesce(~F.col("StockCode").rlike(c.stock_re), F.lit(True))),
     Rule("description_missing_or_blank", "format", "review", lambda c: F.coalesce(strip(F.col("Description")) == "", F.lit(True))),
     Rule("invoicedate_out_of_window", "format", "hard", _date),
-    Rule("return_without_cancellation", "logic", "review", lambda c: yes(q < 0) & ~cancelled),
-    Rule("cancellation_without_return", "logic", "hard", lambda c: cancelled & ~yes(q < 0)),
+    Rule("return_without_cancellation", "logic", "review", lambda c: yes(q() < 0) & ~cancelled()),
+    Rule("cancellation_without_return", "logic", "hard", lambda c: cancelled() & ~yes(q() < 0)),
     Rule("duplicate_line_key", "logic", "review", lambda c: F.col("_n_key") > 1),
     Rule("guest_high_value", "logic", "review", lambda c: F.col("CustomerID").isNull() & yes(F.abs(line_value()) > c.guest_high)),
 ]
