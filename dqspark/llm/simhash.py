@@ -192,18 +192,21 @@ def _wide(size: int):
     return run
 
 
-def _deal_blocks(batches) -> Iterator[pa.RecordBatch]:
-    """Each block's key, with a lane of other bits than the block's."""
-    out = Out(pa.schema([("k", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("lane", pa.int64())]))
-    n = LANES * 64 // BLOCK_BITS
-    at = np.arange(n, dtype=np.int32)
-    far = (at * BLOCK_BITS // 64 + LANES // 2) % LANES
-    for k, fp in rows_of(batches, "k", "fp"):
-        fp = np.frombuffer(fp, np.uint8)
-        bits = np.unpackbits(fp)[: n * BLOCK_BITS].reshape(n, BLOCK_BITS)
-        if out.add(np.full(n, k), at, bits @ (1 << np.arange(BLOCK_BITS)), fp.view(np.int64)[far]):
-            yield out.take()
-    yield out.take()
+def _deal_blocks(width: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        """Each block's key, with a lane of other bits than the block's."""
+        out = Out(pa.schema([("k", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("lane", pa.int64())]))
+        n = LANES * 64 // width
+        at = np.arange(n, dtype=np.int32)
+        far = (at * width // 64 + LANES // 2) % LANES
+        for k, fp in rows_of(batches, "k", "fp"):
+            fp = np.frombuffer(fp, np.uint8)
+            bits = np.unpackbits(fp)[: n * width].reshape(n, width)
+            if out.add(np.full(n, k), at, bits @ (1 << np.arange(width)), fp.view(np.int64)[far]):
+                yield out.take()
+        yield out.take()
+
+    return run
 
 
 def _close(batches) -> Iterator[pa.RecordBatch]:
@@ -255,7 +258,8 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     A 64-bit fingerprint can't tell a similarity of 0.8 by 3 bits (such pairs differ in about 10 of 64), so this mode
     takes 1536 bits: 76 blocks of 20 bits. A pair of similarity 0.8, 0.85, 0.9 shares a block with probability 0.95,
     0.99, 0.9999; unrelated pairs with 7e-5; Hamming distances decide,
-    of one lane of 64 bits first. Blocks with more than CROWD members are dealt to
+    of one lane of 64 bits first. Blocks are as wide as
+    the number of texts asks for (wider ones miss more pairs of 0.8). Blocks with more than CROWD members are dealt to
     salted parts, each block by other salts: in a group that large, links within parts connect what links across them
     would.
     """
@@ -263,10 +267,11 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     hashed = cut(docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text")).mapInArrow(_wide(size), "k long, fp binary"))
     low = hashed.groupBy("fp").agg(F.min("k").alias("low"))
     nodes = cut(low.select(F.col("low").alias("k"), "fp"))
-    dealt = nodes.mapInArrow(_deal_blocks, "k long, at int, key long, lane long")
-    shared = dealt.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = dealt.join(shared, ["at", "key"]).withColumn("part", F.pmod(F.xxhash64("k", "at"), F.ceil(F.col("n") / F.lit(CROWD))))
-    blocks = met.groupBy("at", "key", "part").agg(F.collect_list(F.struct("k", "lane")).alias("members")).filter(F.size("members") > 1)
+    width = max(BLOCK_BITS, nodes.count().bit_length())  # so that a key has one unrelated member or less, whatever the input
+    dealt = nodes.mapInArrow(_deal_blocks(width), "k long, at int, key long, lane long")
+    hot = dealt.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+    part = F.coalesce(F.pmod(F.xxhash64("k", "at"), F.ceil(F.col("n") / F.lit(CROWD))), F.lit(0))
+    blocks = dealt.join(hot, ["at", "key"], "left").groupBy("at", "key", part.alias("part")).agg(F.collect_list(F.struct("k", "lane")).alias("members")).filter(F.size("members") > 1)
     close = blocks.select("members", F.xxhash64("at", "key", "part").alias("name")).mapInArrow(_close, "g long, k long")
     groups = close.join(nodes, "k").groupBy("g").agg(F.collect_list(F.struct("k", "fp")).alias("members"))
     edges = groups.select("members").mapInArrow(_wide_forests(int(LIMIT * LANES * 64)), "x long, y long").distinct()
