@@ -84,9 +84,13 @@ def _scan(held, names: tuple[str, ...]):
         schema = pa.schema([("_n_words", pa.int64()), ("_spans", pa.list_(pa.int32())), ("_items", pa.list_(pa.string()))])
         for batch in batches:
             rows = []
-            for (text,) in zip(*columns(batch, "_text"), strict=True):
+            earlier = columns(batch, "_spans", "_items") if "_spans" in batch.schema.names else [[[]] * batch.num_rows] * 2
+            for text, spans, known in zip(*columns(batch, "_text"), *earlier, strict=True):
                 words = normal_words(text)
                 hit, items = hits(words, index, seen)
+                if spans:
+                    hit |= covered(len(words), (p := np.array(spans, np.int64).reshape(-1, 2))[:, 0], p[:, 1] - p[:, 0])
+                    items |= set(known)
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
                 rows.append((len(words), edges.tolist(), sorted(items)))
             made = batch_of(schema, rows)
@@ -116,12 +120,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     for i in range(parts):  # one, unless the benchmark is very large
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == i)
         held = spark.sparkContext.broadcast(index_items([(r.id, bytes(r.text or b"")) for r in own.collect()], n))
-        carried = keep if i == 0 else (*keep, "_spans0", "_items0")
-        out = out.mapInArrow(_scan(held, carried), ", ".join([*_fields(out, skip=() if i == 0 else ("_n_words",)), SCANNED]))
-        if i:
-            out = out.withColumns({"_spans": F.concat("_spans0", "_spans"), "_items": F.array_sort(F.array_union("_items0", "_items"))}).drop("_spans0", "_items0")
-        if i + 1 < parts:
-            out = out.drop("_n_words").withColumnsRenamed({"_spans": "_spans0", "_items": "_items0"})
+        out = out.mapInArrow(_scan(held, keep), ", ".join([*_fields(out, skip=("_n_words", "_spans", "_items")), SCANNED]))
     return out
 
 
