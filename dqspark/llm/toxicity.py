@@ -5,7 +5,8 @@ the beginnings of longer ones. Words
 whose counts in toxic and other labelled texts differ by chance alone are left out by a test against the binomial; the
 rest get weights by logistic regression. In each labelled text with an identity term, the term is also swapped for each
 other term of its group, and squared changes of the score are a penalty: a mention of one group then weighs what a
-mention of another does, and a group that occurs in toxic texts by accident makes no neutral mention toxic.
+mention of another does, and a group that occurs in toxic texts by accident makes no neutral mention toxic. Terms that no
+labelled text has weigh nothing and are swapped in too; beginnings of terms are no features, so a swap moves nothing else.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, taken by a hash of the id; every text is scored whole. Defined
 cases: null and empty texts have no words and get the score of the intercept; if the labels have one class or no row,
@@ -47,6 +48,7 @@ IDENTITY_TERMS = (
     ("deaf", "blind", "disabled", "paralyzed"),
     ("young", "old", "elderly", "teenage"),
 )
+TERMS = frozenset(t for group in IDENTITY_TERMS for t in group)
 #: Makes ASCII but letters and digits a space.
 WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -55,7 +57,7 @@ def features(text: str | None) -> np.ndarray:
     """Hashes of the distinct words and of their beginnings."""
     words = set((text or "").lower().encode("utf-8", "replace").translate(WORDS).split())
     long = [w for w in (w.decode("utf-8", "ignore") for w in words if len(w) > min(STEMS)) if len(w) > min(STEMS)]
-    stems = {w[:n] + "-" for n in STEMS for w in long if len(w) > n}
+    stems = {w[:n] + "-" for n in STEMS for w in long if len(w) > n and w not in TERMS}
     return np.unique(word_hashes([*words, *(s.encode() for s in stems)]))
 
 
@@ -90,16 +92,17 @@ def _selected(held):
 
 
 def swaps(rows: list[np.ndarray], words: np.ndarray) -> dict[tuple[int, int], int]:
-    """How many labelled texts have term i, and not j, of the same group: the pairs whose swap changes the text."""
+    """How many labelled texts have term i, and not j, of the same group: the pairs whose swap changes the text. All terms
+    without a weight are j = -1, counted once each."""
     out: dict[tuple[int, int], int] = {}
-    groups = [[int(i) for i in np.searchsorted(words, g) if i < len(words) and words[i] in g] for g in identity_groups()]
+    groups = [([int(i) for i in np.searchsorted(words, g) if i < len(words) and words[i] in g], len(g)) for g in identity_groups()]
     for row in rows:
-        for group in groups:
+        for group, size in groups:
             have = {i for i in group if words[i] in row} if group else set()
             for i in have:
-                for j in group:
-                    if j not in have:
-                        out[i, j] = out.get((i, j), 0) + 1
+                for j, often in [*((j, 1) for j in group if j not in have), (-1, size - len(group))]:
+                    if often:
+                        out[i, j] = out.get((i, j), 0) + often
     return out
 
 
@@ -114,15 +117,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l2: float = 0.05, counterfactual:
     at, row = np.concatenate(held).astype(np.int64), np.repeat(np.arange(n), [len(h) for h in held])
     pairs = swaps([words[h] for h in held], words)
     i, j, often = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64), np.array(list(pairs.values()), np.float64)
+    known = j >= 0
     w, m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     w[-1] = base
     for t in range(1, steps + 1):  # Adam on the whole sample
         z = np.bincount(row, weights=w[at], minlength=n) + w[-1]
         r = 1 / (1 + np.exp(-z)) - y
         g = np.append(np.bincount(at, weights=r[row], minlength=len(words)) + l2 * w[:-1], r.sum())
-        change = 2 * counterfactual * often * (w[i] - w[j])
+        change = 2 * counterfactual * often * (w[i] - np.where(known, w[j], 0.0))
         np.add.at(g, i, change)
-        np.add.at(g, j, -change)
+        np.add.at(g, j[known], -change[known])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return {"words": words, "weights": w[:-1], "intercept": float(w[-1])}
