@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +42,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one of spark.checkpoint.dir; it goes when the driver's Python ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        jvm = spark.sparkContext._jvm
+        if jvm is not None:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def safely() -> None:
+        try:
+            remove()
+        except Exception:  # the session has ended before; its shared folder is the cluster's to clear
+            return
+
+    atexit.register(safely)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: later reads take the columns they need, and cut off its lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes unless the session has its own bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

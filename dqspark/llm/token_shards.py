@@ -14,9 +14,7 @@ special tokens in a text are ordinary text; rows of one doc_id are texts of thei
 
 from __future__ import annotations
 
-import atexit
 import base64
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, mix64, rows_of, ship
+from .common import bound_batches, mix64, rows_of, ship, written
 
 ship(__name__)
 
@@ -76,29 +74,6 @@ def _tokenise(held, length: int, end: int):
     return run
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one; it goes when the driver's Python ends."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
-    path = f"{root.rstrip('/')}/tokens-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    def safely() -> None:
-        try:
-            remove()
-        except Exception:  # the session has ended before; its shared folder is the cluster's to clear
-            return
-
-    atexit.register(safely)
-    return path
-
-
 def feistel(x: np.ndarray, bits: int, key: int) -> np.ndarray:
     """A permutation of the numbers of 2 * bits bits."""
     mask = np.uint64((1 << bits) - 1)
@@ -124,11 +99,9 @@ def shards(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length
     bound_batches(spark)
     with open(vocabulary, "rb") as f:  # on the driver; about a megabyte is broadcast
         held = spark.sparkContext.broadcast(f.read())
-    path = _folder(spark)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(held, length, end), "task int, at long, doc_id long, part int, n_tokens int, tokens binary")
-    made.write.option("compression", "zstd").parquet(path)
-    written = spark.read.schema(made.schema).parquet(path)
-    counts = sorted(written.groupBy("task").count().collect())  # a row for each task of the scan
+    stored = written(made, "tokens")
+    counts = sorted(stored.groupBy("task").count().collect())  # a row for each task of the scan
     starts, n = {}, 0
     for task, count in counts:
         starts[task], n = n, n + count
@@ -141,7 +114,7 @@ def shards(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length
     def slot_of(task: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series(permute(begin.value[task.to_numpy()] + at.to_numpy(), total, key))
 
-    slotted = written.select(slot_of("task", "at").alias("slot"), "doc_id", "part", "n_tokens", "tokens").withColumn("shard", F.floor(F.col("slot") / F.lit(per_shard)).cast("long"))
+    slotted = stored.select(slot_of("task", "at").alias("slot"), "doc_id", "part", "n_tokens", "tokens").withColumn("shard", F.floor(F.col("slot") / F.lit(per_shard)).cast("long"))
     placed = slotted.withColumn("offset", (F.col("slot") % per_shard) * F.lit(2 * length))
     ranges = max(1, -(-total // per_shard))
     return placed.repartitionByRange(min(ranges, 20_000), "shard").sortWithinPartitions("slot").select("slot", "shard", "offset", "doc_id", "part", "n_tokens", "tokens")
