@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .features import scale
+
 REFERENCE = 20_000
 
 
@@ -32,7 +34,11 @@ def neighbours(x: np.ndarray, ref: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     """Squared distances and places of the k nearest of ref that aren't the point itself; ties by the order of ref."""
     d = ((x[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)
     d[(x[:, None, :] == ref[None, :, :]).all(axis=2)] = np.inf
-    at = np.argsort(d, axis=1, kind="stable")[:, :k]
+    at = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    near = np.take_along_axis(d, at, axis=1)
+    at = np.take_along_axis(at, np.argsort(near, axis=1, kind="stable"), axis=1)
+    tied = np.flatnonzero((d <= near.max(axis=1, keepdims=True)).sum(axis=1) > k)  # whole rows are sorted only there
+    at[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
     return np.take_along_axis(d, at, axis=1), at
 
 
@@ -119,6 +125,51 @@ def flag_top(scored: DataFrame, column: str, contamination: float = 0.01) -> Dat
     return scored.withColumn("is_outlier", F.col(column) > F.lit(cut))
 
 
+def flag_points(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
+    """(columns, n, if_score, lof, is_if, is_lof) for each distinct point; the forest's cut is by rows, the factor's by points."""
+    forest = isolation_forest(df, columns, trees).withColumnRenamed("score", "if_score")
+    factor = lof(df, columns).drop("n")
+    if_cut = forest.agg(F.percentile("if_score", F.lit(1 - contamination), F.col("n"))).head()[0]
+    lof_cut = factor.agg(F.percentile("lof", F.lit(1 - contamination))).head()[0]
+    return forest.join(factor, columns).withColumns({"is_if": F.col("if_score") > F.lit(if_cut), "is_lof": F.col("lof") > F.lit(lof_cut)})
+
+
+def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a gap in the columns, which have mean 0 and deviation 1."""
+    return scale(df.dropna(subset=columns), columns).drop(*columns).withColumnsRenamed({f"{c}_scaled": c for c in columns})
+
+
+def severity(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
+    """One row: n_rows, rows that each model and both flag, and anomaly_severity (0 to 100, the share that both flag)."""
+    flagged = flag_points(standardised(df, columns), columns, contamination, trees)
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    one = flagged.agg(n(F.col("is_if")).alias("n_if"), n(F.col("is_lof")).alias("n_lof"), n(F.col("is_if") & F.col("is_lof")).alias("n_both"))
+    rows = F.lit(df.count())
+    return one.select(rows.alias("n_rows"), "*", F.coalesce(F.round(F.try_divide(100.0 * F.col("n_both"), rows), 4), F.lit(0.0)).alias("anomaly_severity"))
+
+
+def evaluate(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
+    """(model, tp, fp, fn, tn, precision, recall, f1, auc, precision_at_k) on rows with injected outliers: each model, rows
+    that either or both flag (scored by the mean of the percent ranks). K is the number of injected rows; rows tied at the
+    K-th place count by their share."""
+    rows = standardised(inject(df), columns)
+    flagged = flag_points(rows, columns, contamination, trees)
+    scored = combined_rank(rows.select("label", *columns).join(flagged.drop("n"), columns), "if_score", "lof")
+    models = {"isolation_forest": ("if_score", F.col("is_if")), "lof": ("lof", F.col("is_lof")), "either": ("combined", F.col("is_if") | F.col("is_lof")), "both": ("combined", F.col("is_if") & F.col("is_lof"))}
+    each = scored.select("label", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(s).alias("score"), f.alias("flag")) for m, (s, f) in models.items()))).alias("x")).select("label", "x.*")
+    hit = F.col("label") == 1
+    by = each.groupBy("model", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"), F.count_if(hit & F.col("flag")).alias("tp"), F.count_if(~hit & F.col("flag")).alias("fp"))
+    above = W.partitionBy("model").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)  # distinct scores
+    all_ = W.partitionBy("model")
+    ranked = by.withColumns({"pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0)), "neg_above": F.coalesce(F.sum("neg").over(above), F.lit(0)), "k": F.sum("pos").over(all_)})
+    room = F.greatest(F.lit(0), F.col("k") - F.col("pos_above") - F.col("neg_above"))
+    ranked = ranked.withColumns({"wins": F.col("neg") * (F.col("pos_above") + 0.5 * F.col("pos")), "top": F.col("pos") * F.least(F.lit(1.0), room / (F.col("pos") + F.col("neg")))})
+    one = ranked.groupBy("model").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), (F.sum("pos") - F.sum("tp")).alias("fn"), (F.sum("neg") - F.sum("fp")).alias("tn"), F.sum("wins").alias("wins"), F.sum("top").alias("top"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(1.0 * a, b), F.lit(0.0)), 4)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return one.select("model", "tp", "fp", "fn", "tn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(F.col("wins"), (tp + fn) * (fp + tn)).alias("auc"), share(F.col("top"), tp + fn).alias("precision_at_k"))
+
+
 def pct_rank(column: str, by: list[str] | None = None) -> tuple[Column, Column]:
     """Windows for an average rank over n: rows that are alike share the mean of their ranks. Ranks are global, so they
     are taken over distinct points (reduced before), not over rows."""

@@ -67,8 +67,11 @@ def quality(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     return dims.withColumn("total", F.round(0.25 * F.col("completeness") + 0.35 * F.col("validity") + 0.2 * F.col("consistency") + 0.2 * F.col("uniqueness"), 2))
 
 
-def health(validity: float, anomaly: float, consistency: float, drift: float | None) -> dict:
-    """The weighted health score and its grade."""
-    stability = 100 * (1 - min(1.0, (drift or 0.0) / 0.5))
-    score = round(0.4 * validity + 0.25 * anomaly + 0.2 * consistency + 0.15 * stability, 2)
-    return {"score": score, "grade": "Healthy" if score >= 95 else "Watch" if score >= 80 else "Review", "stability": round(stability, 2)}
+def health(n_rows: int, n_hard: int, n_review: int, n_both: int, drift: float | None) -> dict:
+    """The weighted health score of distinct rows by severity, rows that both outlier models flag and the largest drift."""
+    if not n_rows:
+        raise ValueError("no rows to score")
+    good = lambda n: 100.0 * (1 - n / n_rows)
+    parts = {"validity": good(n_hard), "anomaly": good(n_both), "consistency": good(n_review), "stability": 100.0 * (1 - min(1.0, (drift or 0.0) / 0.5))}
+    score = round(0.4 * parts["validity"] + 0.25 * parts["anomaly"] + 0.2 * parts["consistency"] + 0.15 * parts["stability"], 2)
+    return {"score": score, "grade": "Healthy" if score >= 95 else "Watch" if score >= 80 else "Review"} | {k: round(v, 2) for k, v in parts.items()}

@@ -13,7 +13,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.expr import Contract
-from ..operators import classify, cleaning, drift, features, profile, rules
+from ..operators import anomaly, classify, cleaning, drift, features, profile, rules
 from ..sources import tables
 
 DEFAULTS = {
@@ -94,22 +94,23 @@ def profile_report(df: DataFrame) -> dict:
     return {k: _rows(v) for k, v in parts.items()}
 
 
-def validation_report(df: DataFrame, contract: Contract, drift_years: tuple[int, int]) -> dict:
+def validation_report(df: DataFrame, contract: Contract, drift_years: tuple[int, int], contamination: float = 0.01) -> dict:
     sev = rules.rows_by_severity(df, contract)
     one = _rows(sev.withColumn("error_severity", rules.error_severity()))[0]
     if not one["n_rows"]:
         raise ValueError("no rows to validate")
     q = _rows(features.quality(df, contract))[0]
     d = _rows(drift.verdict(df, drift_years))[0]
+    a = _rows(anomaly.severity(df, ["Quantity", "UnitPrice"], contamination))[0]
     return {
-        "rules": _rows(rules.counts(df, contract)), "findings": _rows(rules.findings(df, contract)), "examples": _rows(rules.examples(df, 3, contract)), "severity": one, "quality": q, "drift": d | {"measures": _rows(drift.measures(df, drift_years)), "shares": _rows(drift.shares(df, drift_years))},
-        "columns": _rows(classify.classify(df, [c for c in tables.CANONICAL if c in df.columns])), "health": features.health(q["validity"], 100.0 - one["error_severity"], q["consistency"], d["max_rel_change"]),
-        "actions": actions(one, d),
+        "rules": _rows(rules.counts(df, contract)), "findings": _rows(rules.findings(df, contract)), "examples": _rows(rules.examples(df, 3, contract)), "severity": one, "anomaly": a, "quality": q, "drift": d | {"measures": _rows(drift.measures(df, drift_years)), "shares": _rows(drift.shares(df, drift_years))},
+        "columns": _rows(classify.classify(df, [c for c in tables.CANONICAL if c in df.columns])), "health": features.health(one["n_rows"], one["n_hard"], one["n_review"], a["n_both"], d["max_rel_change"]),
+        "actions": actions(one, d, a),
     }
 
 
-def actions(severity: dict, d: dict) -> list[str]:
-    said = [(severity["n_hard"] > 0, f"Quarantine {severity['n_hard']} rows that break hard rules."), (severity["n_review"] > 0, f"Review {severity['n_review']} rows that break review rules."), (d["verdict"] == "alert", "Look into the measures whose drift is an alert."), (d["verdict"] == "watch", "Watch the measures that drift.")]
+def actions(severity: dict, d: dict, a: dict) -> list[str]:
+    said = [(severity["n_hard"] > 0, f"Quarantine {severity['n_hard']} rows that break hard rules."), (severity["n_review"] > 0, f"Review {severity['n_review']} rows that break review rules."), (a["n_both"] > 0, f"Look at {a['n_both']} rows that both outlier models flag."), (d["verdict"] == "alert", "Look into the measures whose drift is an alert."), (d["verdict"] == "watch", "Watch the measures that drift.")]
     return [s for on, s in said if on] or ["Nothing to do."]
 
 
@@ -137,7 +138,7 @@ def run(spark: SparkSession, config: dict, dry: bool = False) -> dict:
     stages = [
         ("profiling", lambda: tables.save_json(profile_report(state["raw"]), f"{out}/profiling_report.json")),
         ("cleaning", clean),
-        ("validation", lambda: tables.save_json(validation_report(spark.read.parquet(f"{out}/cleaned.parquet"), contract, years), f"{out}/validation_report.json")),
+        ("validation", lambda: tables.save_json(validation_report(spark.read.parquet(f"{out}/cleaned.parquet"), contract, years, v["contamination"]), f"{out}/validation_report.json")),
     ]
     failed = []
     for name, work in stages:

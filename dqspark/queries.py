@@ -84,7 +84,7 @@ query("rule_by_severity", RULES + " SELECT severity, CAST(sum(n_violations) AS B
 query("rule_rollup", RULES + " SELECT category, severity, CAST(sum(n_violations) AS BIGINT) AS n_violations, count(*) AS n_rules FROM counted GROUP BY GROUPING SETS ((category), (severity), ())")(lambda r: rules.rollup(r, C))
 query("rule_findings", RULES + " SELECT rule_id, CASE severity WHEN 'hard' THEN 'impossible' ELSE 'suspicious' END AS error_type, CASE severity WHEN 'hard' THEN 'critical' WHEN 'review' THEN 'high' ELSE 'medium' END AS level, n_violations FROM counted WHERE n_violations > 0")(lambda r: rules.findings(r, C))
 query("severity_rows", SEVERITY + " SELECT * FROM sev")(lambda r: rules.rows_by_severity(r, C))
-query("health_score", SEVERITY + " SELECT n_rows, least(100, round(100 * (n_hard + 0.3 * n_review + 0.1 * n_info) / n_rows, 2))::DOUBLE AS error_severity FROM sev")(lambda r: rules.rows_by_severity(r, C).select("n_rows", rules.error_severity().alias("error_severity")))
+query("health_score", SEVERITY + " SELECT n_rows, least(100, round(100 * (n_hard + 0.3 * n_review + 0.1 * n_info) / n_rows, 2))::DOUBLE AS error_severity, round(100.0::DOUBLE * (n_rows - n_hard) / n_rows, 2) AS validity, round(100.0::DOUBLE * (n_rows - n_review) / n_rows, 2) AS consistency FROM sev")(lambda r: rules.rows_by_severity(r, C).select("n_rows", rules.error_severity().alias("error_severity"), *(F.round(100.0 * (F.col("n_rows") - F.col(n)) / F.col("n_rows"), 2).alias(c) for n, c in (("n_hard", "validity"), ("n_review", "consistency")))))
 query("row_snapshot")(lambda r: r.select("row_id", rules.snapshot().alias("snapshot")))
 
 # --- projections
@@ -117,6 +117,7 @@ query("corr_long", "SELECT 'Quantity' AS a, 'Quantity' AS b, round(corr(Quantity
 query("hist_capped", ", e AS (SELECT min(Quantity) AS lo, quantile_cont(Quantity, 0.995) AS hi FROM retail) SELECT CAST(least(59, floor((least(Quantity, hi) - lo) / ((hi - lo) / 60))) AS INT) AS bin, count(*) AS n FROM retail, e GROUP BY 1")(lambda r: profile.histogram(r, "Quantity"))
 query("sample_rows")(lambda r: profile.sample_rows(r).select("row_id"))
 query("flags_numeric", ", f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS flag, '{s}' AS severity, count(*) FILTER (WHERE {p}) AS n FROM retail" for n, s, p in [("negative-quantity", "info", "Quantity < 0"), ("bulk-quantity", "info", "abs(Quantity) > 1000"), ("zero-quantity", "warning", "Quantity = 0"), ("negative-price", "critical", "UnitPrice < 0"), ("zero-price", "warning", "UnitPrice = 0"), ("extreme-price", "info", "UnitPrice > 1000"), ("cancelled-invoices", "info", "regexp_matches(InvoiceNo, '(?i)^C\\d+$')")]) + ") SELECT * FROM f WHERE n > 0")(profile.flags_numeric)
+query("flags_missing", TALL + ", s AS (SELECT \"column\", round(100.0 * count(*) FILTER (WHERE value IS NULL) / count(*), 2)::DOUBLE AS missing_pct, count(DISTINCT value) AS u FROM tall GROUP BY 1) SELECT \"column\", unnest(CASE WHEN u = 0 THEN ['missing-critical', 'empty-column'] ELSE list_filter([CASE WHEN missing_pct >= 95 THEN 'missing-critical' WHEN missing_pct >= 20 THEN 'missing-high' END, CASE WHEN u = 1 THEN 'constant-column' END], lambda x: x IS NOT NULL) END) AS flag, missing_pct FROM s")(lambda r: profile.missing_flags(r.drop("row_id")))
 query("case_variants", TALL + ", g AS (SELECT \"column\", lower(trim(value)) AS g, count(*) AS m FROM uniq WHERE \"column\" IN ('StockCode', 'Description', 'Country') GROUP BY 1, 2) SELECT \"column\", count(*) FILTER (WHERE m > 1) AS n_groups FROM g GROUP BY 1")(lambda r: profile.case_variants(r, ["StockCode", "Description", "Country"]))
 query("padded_text", TALL + ", g AS (SELECT * FROM tall WHERE \"column\" IN ('StockCode', 'Description', 'Country')) SELECT \"column\", count(*) FILTER (WHERE value <> trim(value)) AS n_padded FROM g GROUP BY 1")(lambda r: profile.padded_text(r, ["StockCode", "Description", "Country"]))
 query("pii_columns", "SELECT * FROM (VALUES ('CustomerID', 'direct', 'customerid'), ('Country', 'quasi', 'country')) t(\"column\", kind, pattern)")(lambda r: profile.pii_columns(r.drop("row_id")))
@@ -180,6 +181,8 @@ def part_points(df: DataFrame) -> DataFrame:
 query("lof_scores", LOF + " SELECT x, y, round(lof, 6) AS lof FROM s", on="part")(lambda p: anomaly.lof(part_points(p), ["x", "y"]).select("x", "y", F.round("lof", 6).alias("lof")))
 query("lof_flags", LOF + ", c AS (SELECT quantile_cont(lof, 0.99) AS cut FROM s) SELECT count(*) AS n_points, count(*) FILTER (WHERE round(lof, 9) > round(cut, 9)) AS n_flagged FROM s, c", on="part")(lambda p: anomaly.flag_top(anomaly.lof(part_points(p), ["x", "y"]), "lof").agg(F.count(F.lit(1)).alias("n_points"), F.count_if("is_outlier").alias("n_flagged")))
 query("isolation_forest")(lambda r: anomaly.isolation_forest(r, MEASURES, trees=100).select("Quantity", "UnitPrice", "n", F.round("score", 6).alias("score")))
+query("anomaly_severity")(lambda r: anomaly.severity(r, MEASURES, trees=100))
+query("evaluate_models")(lambda r: anomaly.evaluate(r, MEASURES, trees=100))
 RANKED = "WITH t AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part)"
 AVG_RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE) / count(*) OVER ()"
 query("combined_rank", RANKED + f" SELECT p_partkey, round(({AVG_RANK.format('a')} + {AVG_RANK.format('b')}) / 2, 6) AS combined FROM t", on="part")(lambda p: anomaly.combined_rank(p.select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), "a", "b").select("p_partkey", F.round("combined", 6).alias("combined")))
