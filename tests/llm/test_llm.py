@@ -236,3 +236,17 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {0, 1, 4} and sorted({r.shard for r in got}) == list(range(len(got)))
+
+
+def test_a_term_that_no_label_shows_is_swapped_in_too():
+    texts = ["the muslim idiot"] * 30 + ["muslim clown here"] * 30 + ["the muslim neighbour baked"] * 3 + ["bread was baked here"] * 100
+    rows, y = [toxicity.features(t) for t in texts], np.array([1.0] * 60 + [0.0] * 103)
+    apart = []
+    for c in (0.0, 1.0):
+        m = toxicity.fit(rows, y, counterfactual=c)
+        apart.append(abs(toxicity.score_one("the muslim neighbour", m) - toxicity.score_one("the sikh neighbour", m)))
+    assert apart[1] < 0.02 < apart[0]
+
+
+def test_terms_have_no_beginnings_among_the_features():
+    assert len(toxicity.features("muslim")) == 1 and len(toxicity.features("neighbour")) == 4
