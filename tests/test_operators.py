@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,32 @@ def test_rules_on_a_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("flagged").count() == 3 and "unitprice_negative" in flagged.columns
+
+
+def test_nearest_neighbours_with_ties_match_a_stable_sort():
+    rng = np.random.default_rng(3)
+    ref, x = rng.integers(0, 6, (80, 2)).astype(float), rng.integers(0, 6, (30, 2)).astype(float)
+    d = ((x[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)
+    d[(x[:, None, :] == ref[None, :, :]).all(axis=2)] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :7]
+    got_d, got = anomaly.neighbours(x, ref, 7)
+    assert (got == want).all() and (got_d == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_health_weighs_distinct_rows():
+    got = features.health(200, 20, 10, 2, 0.25)
+    assert got["score"] == round(0.4 * 90 + 0.25 * 99 + 0.2 * 95 + 0.15 * 50, 2) and got["grade"] == "Watch"
+    assert features.health(10, 0, 0, 0, None)["grade"] == "Healthy"
+    with pytest.raises(ValueError):
+        features.health(0, 0, 0, 0, None)
+
+
+def test_evaluation_ranks_injected_rows_high(spark):
+    rows = spark.range(400).selectExpr("id as row_id", "cast(id % 17 + 1 as double) as Quantity", "cast(id % 13 + 1 as double) as UnitPrice")
+    got = {r.model: r for r in anomaly.evaluate(rows, ["Quantity", "UnitPrice"], trees=50).collect()}
+    assert set(got) == {"isolation_forest", "lof", "either", "both"}
+    assert all(r.tp + r.fn == 100 and r.fp + r.tn == 400 for r in got.values())
+    assert got["isolation_forest"].auc > 0.9 and got["isolation_forest"].precision_at_k > 0.7
+    assert got["either"].tp >= got["both"].tp
+    one = anomaly.severity(rows, ["Quantity", "UnitPrice"], trees=50).first()
+    assert one.n_rows == 400 and one.n_both <= min(one.n_if, one.n_lof)
