@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Out, bound_batches, columns, cut, doc_key, mix64, rows_of, ship, window_hashes, word_hashes
+from .common import NULL_ID, Out, batch_of, bound_batches, columns, cut, doc_key, mix64, rows_of, ship, window_hashes, word_hashes, written
 from .components import components
 
 ship(__name__)
@@ -160,124 +160,191 @@ def cluster(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
 
 # --- near copies by shingle similarity ----------------------------------------------------------------------------------
 
-#: 64-bit lanes of a wide fingerprint, distinct shingles that it rests on, bits of a block, members compared at once.
-LANES, SAMPLE, BLOCK_BITS, CROWD = 24, 512, 20, 4_096
-#: Differing share of bits up to which two wide fingerprints link. Sets of Jaccard similarity 0.8 have a cosine of 0.889
-#: and so differ in 0.151 of their bits; the rest is two standard deviations of 1536 bits.
-LIMIT = 0.17
-#: Differing bits of one lane up to which two members of a block are compared in full: four standard deviations above the
-#: mean at similarity 0.8; one of 120 unrelated pairs is below.
-NEAR_LANE = 22
+#: Documents (about) whose shingles say which are common, and how many of the commonest are held.
+SAMPLE, COMMON = 8_192, 1 << 18
 
 
-def wide_fingerprint(text: bytes | None, size: int = 5) -> np.ndarray:
-    """SimHash of LANES * 64 bits over the SAMPLE distinct shingles of the least hashes (a consistent sample of the whole
-    text's shingles: equal shingles are sampled alike in all texts)."""
+def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
+    """The distinct hashes of all of the text's shingles, in order."""
     words = word_hashes((text or b"").lower().split())
-    h = np.unique(mix64(window_hashes(words, min(size, len(words))), len(words) if len(words) < size else 0))[:SAMPLE] if len(words) else words
-    if not len(h):
-        return np.zeros(LANES * 8, np.uint8)
-    lanes = mix64(h[:, None] ^ mix64(np.arange(LANES, dtype=np.uint64))[None, :])
-    bits = np.unpackbits(lanes.view(np.uint8), axis=1)
-    counts = sum(np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8).astype(np.int32) for i in range(0, len(bits), 255))
-    return np.packbits(2 * counts > len(h))
+    return np.unique(mix64(window_hashes(words, min(size, len(words))), len(words) if len(words) < size else 0)) if len(words) else words
 
 
-def _wide(size: int):
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([wide_fingerprint(t, size).tobytes() for t in columns(batch, "text")[0]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), made], names=["k", "fp"])
+def set_name(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
+def parities(h: np.ndarray) -> bytes:
+    """A bit for each bucket of hashes that holds an odd number of them, as many buckets as hashes or more: two sets differ
+    in as many hashes as their parities at least."""
+    buckets = 1 << max(6, (len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1 == 1, bitorder="little").tobytes()
 
-    return run
 
+def parity_distance(a: bytes, b: bytes) -> int:
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
-def _deal_blocks(width: int):
+
+def prefix(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles in the order of (count among the common ones, hash), so many that a set of similarity 0.8 has one
+    of them among its own."""
+    names, counts = common
+    n = np.zeros(len(h), np.int64)
+    if len(names) and len(h):
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        n = np.where(names[at] == h, counts[at], 0)
+    return h[np.lexsort((h, n))][: len(h) - (4 * len(h) + 4) // 5 + 1]
+
+
+def _shingles(size: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        """Each block's key, with a lane of other bits than the block's."""
-        out = Out(pa.schema([("k", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("lane", pa.int64())]))
-        n = LANES * 64 // width
-        at = np.arange(n, dtype=np.int32)
-        far = (at * width // 64 + LANES // 2) % LANES
-        for k, fp in rows_of(batches, "k", "fp"):
-            fp = np.frombuffer(fp, np.uint8)
-            bits = np.unpackbits(fp)[: n * width].reshape(n, width)
-            if out.add(np.full(n, k), at, bits @ (1 << np.arange(width)), fp.view(np.int64)[far]):
+        out = Out(pa.schema([("key", pa.int64())]))
+        for (text,) in rows_of(batches, "text"):
+            if out.add(shingle_set(text, size).view(np.int64)):
                 yield out.take()
         yield out.take()
 
     return run
 
 
-def _close(batches) -> Iterator[pa.RecordBatch]:
-    """Of the members of a block, those that have one near by the 64 bits of their lanes, in groups."""
-    out = Out(pa.schema([("g", pa.int64()), ("k", pa.int64())]))
-    for members, name in rows_of(batches, "members", "name"):
-        ids, lanes = np.array([m["k"] for m in members], np.int64), np.array([m["lane"] for m in members], np.int64).view(np.uint64)
-        left = np.arange(len(ids))
-        while len(left) > 1:
-            queue, group, left = [left[0]], [left[0]], left[1:]
-            while queue and len(left):
-                near = np.bitwise_count(lanes[left] ^ lanes[queue.pop()]) <= NEAR_LANE
-                new, left = left[near].tolist(), left[~near]
-                queue += new
-                group += new
-            if len(group) > 1 and out.add(np.full(len(group), name ^ group[0]), ids[group]):
-                yield out.take()
-    yield out.take()
+def common_shingles(own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample, in order, with their counts. They only order shingles; what is found rests on
+    the order being one for all texts, not on the sample."""
+    share = own.count() // SAMPLE + 1
+    some = own.filter(F.pmod(F.xxhash64("k", "th"), F.lit(share)) == 0).select("text").mapInArrow(_shingles(size), "key long")
+    table = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    names, counts = (table.column(c).to_numpy() for c in ("key", "n"))
+    names = names.astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], counts[order].astype(np.int64)
 
 
-def _wide_forests(limit: int):
+def _prefixes(size: int, held):
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        out = Out(EDGES)
+        seen: set[int] = set()  # a set's keys are given once a task
         for batch in batches:
-            for members in columns(batch, "members")[0]:
-                ids = np.array([m["k"] for m in members], np.int64)
-                fps = np.frombuffer(b"".join(m["fp"] for m in members), np.uint64).reshape(len(ids), LANES)
-                left, a, b = np.arange(len(ids)), [], []
-                while len(left):
-                    queue, left = [left[0]], left[1:]
-                    while queue and len(left):
-                        i = queue.pop()
-                        near = np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1) <= limit
-                        new, left = left[near], left[~near]
-                        a += [i] * len(new)
-                        b += new.tolist()
-                        queue += new.tolist()
-                if a and out.add(ids[np.array(a)], ids[np.array(b)]):
-                    yield out.take()
-        yield out.take()
+            names, sizes, bits, keys = [], [], [], []
+            for text in columns(batch, "text")[0]:
+                h = shingle_set(text, size)
+                s = set_name(h)
+                names.append(s)
+                sizes.append(len(h))
+                bits.append(None if s in seen else parities(h))
+                keys.append([] if s in seen or not len(h) else prefix(h, held.value).view(np.int64))
+                seen.add(s)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
+def held_bits(names: DataFrame) -> np.ndarray:
+    """names (longs in column th) as bits of their low places: 2**27 at most, so others may be among them."""
+    size = 1 << min(27, max(16, 3 + names.count().bit_length()))
+    at = F.col("th").bitwiseAND(F.lit(size - 1)) + 1
+    table = names.groupBy(F.bitmap_bucket_number(at).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for i, bits in zip(*(table.column(c).to_pylist() for c in ("at", "bits")), strict=True):
+        out[i - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _whole(size: int, held):
+    schema = pa.schema([("s", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen, asked = set(), held.value
+        for batch in batches:
+            at = batch.column("th").to_numpy() & (8 * len(asked) - 1)
+            rows = []
+            for text in batch.column("text").filter(pa.array(asked[at >> 3] >> (at & 7) & 1 == 1)).to_pylist():
+                h = shingle_set(text, size)
+                s = set_name(h)
+                if s not in seen:
+                    seen.add(s)
+                    rows.append((s, h.tobytes()))
+            yield batch_of(schema, rows)
+
+    return run
+
+
+EDGES_SQL = "x long, y long"
+
+
+def _may_be_near(batches) -> Iterator[pa.RecordBatch]:
+    """Pairs that sizes and parities don't rule out: sets of a and b shingles and similarity 0.8 differ in (a + b) / 9."""
+    for batch in batches:
+        rows = zip(*columns(batch, "x", "y", "nx", "ny", "bx", "by"), strict=True)
+        yield batch_of(EDGES, [(x, y) for x, y, a, b, p, q in rows if 5 * min(a, b) >= 4 * max(a, b) and 9 * parity_distance(p, q) <= a + b])
+
+
+def _are_near(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for x, y, a, b in zip(*columns(batch, "x", "y", "hx", "hy"), strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            if 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)):
+                found.append((x, y))
+        yield batch_of(EDGES, found)
+
+
+def verified(pairs: DataFrame, sizes: DataFrame, own: DataFrame, size: int) -> DataFrame:
+    """Those of pairs (x, y) whose whole sets have similarity 0.8 or more. Texts of open pairs only are hashed again: no
+    other set is shuffled."""
+    side = lambda sets, c, *more: sets.select(F.col("s").alias(c), *(F.col(m).alias(m[0] + c) for m in more))
+    open_ = cut(pairs.join(side(sizes, "x", "n", "bits"), "x").join(side(sizes, "y", "n", "bits"), "y").mapInArrow(_may_be_near, EDGES_SQL))
+    asked = open_.select(F.col("x").alias("s")).unionByName(open_.select(F.col("y").alias("s"))).distinct()
+    held = own.sparkSession.sparkContext.broadcast(held_bits(cut(sizes.join(asked, "s").select("th"))))
+    sets = own.select("text", "th").mapInArrow(_whole(size, held), "s long, hashes binary")
+    sets = written(sets.groupBy("s").agg(F.first("hashes").alias("hashes")), "sets")
+    return cut(open_.join(side(sets, "x", "hashes"), "x").join(side(sets, "y", "hashes"), "y").mapInArrow(_are_near, EDGES_SQL).distinct())
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    return components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(k, component) for documents whose component of near copies (similarity 0.8 or more on shingles of five words) has
-    a smaller id; k is doc_key().
-
-    A 64-bit fingerprint can't tell a similarity of 0.8 by 3 bits (such pairs differ in about 10 of 64), so this mode
-    takes 1536 bits: 76 blocks of 20 bits. A pair of similarity 0.8, 0.85, 0.9 shares a block with probability 0.95,
-    0.99, 0.9999; unrelated pairs with 7e-5; Hamming distances decide,
-    of one lane of 64 bits first. Blocks are as wide as
-    the number of texts asks for (wider ones miss more pairs of 0.8). Blocks with more than CROWD members are dealt to
-    salted parts, each block by other salts: in a group that large, links within parts connect what links across them
-    would.
+    """(k, component) for documents whose component of near copies (similarity 0.8 or more on the sets of shingles of five
+    words) has a smaller id; k is doc_key().
+
+    Exact, whatever the number of texts. Equal sets are one. In any order of all shingles, sets of similarity 0.8 share one
+    of the first fifth of each (of the first ninth of the smaller): these are keys, and keys of one set only go. Shingles
+    common in a sample come last in the order, so a passage of many texts is a key only of texts of hardly anything else.
+    First each set is held against the least set of each of its keys, and the least of about its size; pairs are ruled out
+    by sizes and parities and decided on the whole sets. Then all pairs of a key that aren't in one component yet are
+    decided in the same way. A crowded key of near copies is one component by then, so its pairs aren't made.
     """
     bound_batches(docs.sparkSession)
-    hashed = cut(docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text")).mapInArrow(_wide(size), "k long, fp binary"))
-    low = hashed.groupBy("fp").agg(F.min("k").alias("low"))
-    nodes = cut(low.select(F.col("low").alias("k"), "fp"))
-    width = max(BLOCK_BITS, nodes.count().bit_length())  # so that a key has one unrelated member or less, whatever the input
-    dealt = nodes.mapInArrow(_deal_blocks(width), "k long, at int, key long, lane long")
-    hot = dealt.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
-    part = F.coalesce(F.pmod(F.xxhash64("k", "at"), F.ceil(F.col("n") / F.lit(CROWD))), F.lit(0))
-    blocks = dealt.join(hot, ["at", "key"], "left").groupBy("at", "key", part.alias("part")).agg(F.collect_list(F.struct("k", "lane")).alias("members")).filter(F.size("members") > 1)
-    close = blocks.select("members", F.xxhash64("at", "key", "part").alias("name")).mapInArrow(_close, "g long, k long")
-    groups = close.join(nodes, "k").groupBy("g").agg(F.collect_list(F.struct("k", "fp")).alias("members"))
-    edges = groups.select("members").mapInArrow(_wide_forests(int(LIMIT * LANES * 64)), "x long, y long").distinct()
-    joined = components(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    least = low.join(joined, low.low == joined.node, "left").select("fp", F.coalesce("component", "low").alias("component"))
-    return hashed.join(least, "fp").filter("k <> component").select("k", "component").distinct()
+    own = docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(own, size))
+    named = written(own.mapInArrow(_prefixes(size, held), "k long, th long, s long, n int, bits binary, keys array<long>"), "prefixes")
+    keys = named.select("s", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = keys.groupBy("key").agg(F.min("s").alias("pivot"), F.max("s").alias("other")).filter("pivot <> other").drop("other")
+    multi = written(keys.join(shared, "key").distinct(), "keys")
+    sizes = written(named.join(multi.select("s").distinct(), "s").groupBy("s").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("th").alias("th")), "sizes")
+
+    pair = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    banded = multi.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))))
+    alike = banded.join(banded.groupBy("key", "band").agg(F.min("s").alias("near")), ["key", "band"])
+    first = cut(multi.filter("s <> pivot").select(*pair("s", "pivot")).unionByName(alike.filter("s <> near").select(*pair("s", "near"))).distinct())
+    edges = verified(first, sizes, own, size)
+
+    now = joined(edges)
+    placed = multi.join(now, multi.s == now.node, "left").select("key", "s", "n", "pos", F.coalesce("component", "s").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    rest = cut(placed.join(mixed, "key"))
+    less, more = rest.filter("pos <= n - (8 * n + 8) div 9").alias("a"), rest.alias("b")
+    fits = "a.key = b.key and a.c <> b.c and a.n <= b.n and 5 * a.n >= 4 * b.n and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)"
+    second = less.join(more, F.expr(fits)).select(*pair("a.s", "b.s")).distinct().join(first, ["x", "y"], "left_anti")
+    all_ = joined(edges.unionByName(verified(cut(second), sizes, own, size)))
+
+    low = named.groupBy("s").agg(F.min("k").alias("low"))
+    rooted = low.join(all_, low.s == all_.node, "left").select("s", "low", F.coalesce("component", "s").alias("root"))
+    least = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component")), "root").select("s", "component")
+    return named.join(least, "s").filter("k <> component").select("k", "component").distinct()
 
 
 def dedup(docs: DataFrame, size: int = 5) -> DataFrame:

@@ -250,3 +250,39 @@ def test_a_term_that_no_label_shows_is_swapped_in_too():
 
 def test_terms_have_no_beginnings_among_the_features():
     assert len(toxicity.features("muslim")) == 1 and len(toxicity.features("neighbour")) == 4
+
+
+def shingles(text, size=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+
+def near_components(texts):
+    """Least reachable place for each text, by all pairs of shingle similarity 0.8 or more."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for _ in texts:
+        before = list(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            return dict(enumerate(root))
+
+
+def found_components(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.k: r.component for r in simhash.near_duplicates(df).collect()}
+    return {i: got.get(i, i) for i in range(len(texts))}
+
+
+def changed_ends(rng, n, words, other):
+    """n pairs of texts of so many words, of which the last ``other`` differ."""
+    new = lambda k: [f"x{rng.randrange(10**9)}" for _ in range(k)]
+    return [" ".join(w + new(other)) for _ in range(n) for w in [new(words - other)] for _ in range(2)]
+
+
+def test_near_copies_at_the_limit_are_found_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_BITS", 30, raising=False)  # a billion texts' blocks of an earlier version
+    texts = changed_ends(random.Random(1), 40, 104, 11)
+    want = near_components(texts)
+    assert sum(k != v for k, v in want.items()) == 40 and found_components(spark, texts) == want
