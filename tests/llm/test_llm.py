@@ -286,3 +286,19 @@ def test_near_copies_at_the_limit_are_found_at_any_size(spark, monkeypatch):
     texts = changed_ends(random.Random(1), 40, 104, 11)
     want = near_components(texts)
     assert sum(k != v for k, v in want.items()) == 40 and found_components(spark, texts) == want
+
+
+def test_near_copies_among_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 2, raising=False)  # a cap of an earlier version
+    rng = random.Random(2)
+    shared = " ".join(f"s{i}" for i in range(180))
+    pairs = [f"{shared} {t}" for t in changed_ends(rng, 25, 64, 25)]
+    words = " ".join(f"d{i}" for i in range(300)).split()
+    group = []
+    for _ in range(30):  # near copies of one text, that differ from each other too
+        own = list(words)
+        own[rng.randrange(300)] = f"y{rng.randrange(10**9)}"
+        group.append(" ".join(own[: 300 - rng.randrange(20)]))
+    texts = pairs + group
+    want = near_components(texts)
+    assert len(set(want.values())) == 26 and found_components(spark, texts) == want
