@@ -302,3 +302,9 @@ def test_near_copies_among_crowded_keys(spark, monkeypatch):
     texts = pairs + group
     want = near_components(texts)
     assert len(set(want.values())) == 26 and found_components(spark, texts) == want
+
+
+def test_near_copies_of_long_texts_are_judged_whole(spark):
+    texts = changed_ends(random.Random(3), 15, 2004, 220) + changed_ends(random.Random(4), 15, 2004, 225)
+    want = near_components(texts)
+    assert sum(k != v for k, v in want.items()) == 15 and found_components(spark, texts) == want
