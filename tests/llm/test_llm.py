@@ -308,3 +308,8 @@ def test_near_copies_of_long_texts_are_judged_whole(spark):
     texts = changed_ends(random.Random(3), 15, 2004, 220) + changed_ends(random.Random(4), 15, 2004, 225)
     want = near_components(texts)
     assert sum(k != v for k, v in want.items()) == 15 and found_components(spark, texts) == want
+
+
+def test_texts_below_the_limit_stay(spark):
+    texts = changed_ends(random.Random(5), 40, 104, 12) + changed_ends(random.Random(6), 40, 104, 15)
+    assert found_components(spark, texts) == dict(enumerate(range(len(texts))))
