@@ -6,7 +6,8 @@ import atexit
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Stands for a null doc_id wherever ids are compared or joined: smaller than any other id.
@@ -34,18 +36,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. A folder of this machine stands in for it in local mode only, where driver
+    and executors are one process; on a cluster a missing setting is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+_OPEN: list[list[Callable[[], None]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Folders that are made inside go at its end."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for remove in _OPEN.pop():
+            remove()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one of spark.checkpoint.dir; it goes when the driver's Python ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; it goes at the end of scratch(), or when the driver's Python ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         jvm = spark.sparkContext._jvm
@@ -59,7 +85,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         except Exception:  # the session has ended before; its shared folder is the cluster's to clear
             return
 
-    atexit.register(safely)
+    if _OPEN:
+        _OPEN[-1].append(safely)
+    else:
+        atexit.register(safely)
     return path
 
 
@@ -78,6 +107,29 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def own_columns(docs: DataFrame, keep: list[str] | None = None, made: tuple[str, ...] = ()) -> tuple[list[Column], list[str]]:
+    """docs' columns (``keep``, all by default) that no result replaces, as c_0, c_1 and so on, and their own names: so no
+    column of docs, whatever its name, clashes with a column that an operator uses."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    return [F.col("`" + c.replace("`", "``") + "`").alias(f"c_{i}") for i, c in enumerate(names)], names
+
+
+def given_back(names: list[str]) -> list[Column]:
+    return [F.col(f"c_{i}").alias(c) for i, c in enumerate(names)]
+
+
+def schema_with(df: DataFrame, made: str = "") -> T.StructType:
+    """The schema of df's own columns (c_0 and so on), and of what an operator makes."""
+    own = [T.StructField(f.name, f.dataType) for f in df.schema if f.name.startswith("c_")]
+    return T.StructType([*own, *(T.StructType.fromDDL(made) if made else [])])
+
+
+def with_own(batch: pa.RecordBatch, names: list[str], arrays: list[pa.Array]) -> pa.RecordBatch:
+    """The batch's own columns (c_0 and so on) beside made ones."""
+    own = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name.startswith("c_")]
+    return pa.RecordBatch.from_arrays([*(x for _, x in own), *arrays], names=[*(n for n, _ in own), *names])
+
+
 def doc_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

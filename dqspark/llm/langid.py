@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, columns, few, held_out, ship
+from .common import bound_batches, columns, few, given_back, held_out, own_columns, schema_with, ship, with_own
 
 ship(__name__)
 
@@ -138,27 +138,34 @@ def predict_one(text: str | None, model: dict) -> tuple[str, float]:
     return model["languages"][best], float(p[best])
 
 
-def _predict(held):
+def _predict(held, text: str):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [predict_one(t, held.value) for t in columns(batch, "_text")[0]]
-            keep = [i for i, f in enumerate(batch.schema) if f.name != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(batch.schema.names[i] for i in keep), "lang_pred", "score"])
+            found = [predict_one(t, held.value) for t in columns(batch, text)[0]]
+            made = [batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield with_own(batch, ["held_out", "lang_pred", "score"], made)
 
     return run
 
 
+def _scored(docs: DataFrame, model: dict, keep: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Columns c_0 and so on of the names, held_out, lang_pred and score. A text that is kept goes to the workers once."""
+    own, names = own_columns(docs, keep, ("held_out", "lang_pred", "score"))
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    sent = docs.select(*own, held_out().alias("held_out"), *([] if "text" in names else [F.col("text").alias("text")]))
+    text = f"c_{names.index('text')}" if "text" in names else "text"
+    return sent.mapInArrow(_predict(held, text), schema_with(sent, "held_out boolean, lang_pred string, score double")), names
+
+
 def identify(docs: DataFrame, model: dict | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (columns ``keep``, all by default) with held_out, lang_pred and score."""
-    model = train(docs) if model is None else model
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "lang_pred", "score")]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
-    own = docs.select(*keep, held_out().alias("held_out"), F.col("text").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "_text"]
-    return own.mapInArrow(_predict(held), ", ".join([*fields, "lang_pred string, score double"]))
+    found, names = _scored(docs, train(docs) if model is None else model, keep)
+    return found.select(*given_back(names), "held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs, with their own columns, without texts that have no letter or whose best language is less sure than ``least``."""
-    found = identify(docs.select(F.struct("*").alias("row"), "doc_id", "text"), train(docs), ["row"])
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    model = train(docs)
+    found, names = _scored(docs.withColumnsRenamed({c: f"own {c}" for c in ("held_out", "lang_pred", "score")}), model, None)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*given_back(names)).toDF(*docs.columns)

@@ -6,7 +6,8 @@ points that ``min_docs`` documents hold lose all their lines but in the largest
 1. Every document gives the 128-bit hashes of its distinct eligible keys; counting them (partial sums first) gives the
    distinct hashes with their document counts and largest ids.
 2. Hashes are dealt to shards. Each shard gets a minimal perfect hash (a cascade of bit arrays) that indexes an array of
-   32-bit fingerprints and one of saturated counts; ids are kept only for counts of ``min_docs`` or more, by rank.
+   32-bit fingerprints and one of counts, saturated at what a byte holds (four bytes if ``min_docs`` needs more); ids are
+   kept only for counts of ``min_docs`` or more, by rank.
 3. Probes (hash, document) go to the shards, not to the lines: a task streams through its probes, sorted behind the
    arrays of their shard. A shard with many probes, such as that of one very common line, is copied to several tasks and
    its probes are dealt among them by document.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Out, batch_of, bound_batches, columns, cut, doc_key, mix64, rows_of, ship
+from .common import Out, batch_of, bound_batches, columns, cut, doc_key, given_back, mix64, own_columns, rows_of, schema_with, ship, with_own
 
 ship(__name__)
 
@@ -109,18 +110,25 @@ def _hash_lines(min_chars: int):
 SHARD = "shard int, salt int, kind int, sizes array<int>, bits binary, fingerprints binary, counts binary, keepers binary, h1 long, h2 long, k long"
 
 
+def count_type(min_docs: int) -> type:
+    """The smallest type whose saturated counts still tell ``min_docs`` apart."""
+    return np.uint8 if min_docs <= 255 else np.uint32
+
+
 def _build_shards(min_docs: int):
+    kind = count_type(min_docs)
+
     def run(key, pdf):
         import pandas as pd
 
         h1, h2 = (pdf[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
         sizes, bits = build_mph(h1, h2)
         at = Mph(sizes, bits).index(h1, h2)
-        fingerprints, counts, keepers = np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint8), np.zeros(len(at), np.int64)
+        fingerprints, counts, keepers = np.zeros(len(at), np.uint32), np.zeros(len(at), kind), np.zeros(len(at), np.int64)
         fingerprints[at] = (h2 >> np.uint64(32)).astype(np.uint32)
-        counts[at] = np.minimum(pdf["n_docs"].to_numpy(), 255)
+        counts[at] = np.minimum(pdf["n_docs"].to_numpy(), np.iinfo(kind).max)
         keepers[at] = pdf["keeper"].to_numpy()
-        kept = keepers[counts >= min(min_docs, 255)]
+        kept = keepers[counts >= min_docs]
         return pd.DataFrame({"shard": [key[0]], "sizes": [sizes], "bits": [bits.tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()], "keepers": [kept.tobytes()]})
 
     return run
@@ -138,8 +146,8 @@ def _probe(min_docs: int):
                     continue
                 if kind[a] == 0:
                     sizes, bits, fp, counts, keepers = (batch.column(i)[a].as_py() for i in range(3, 8))
-                    mph, fp, counts = Mph(sizes, np.frombuffer(bits, np.uint64)), np.frombuffer(fp, np.uint32), np.frombuffer(counts, np.uint8)
-                    often = counts >= min(min_docs, 255)
+                    mph, fp, counts = Mph(sizes, np.frombuffer(bits, np.uint64)), np.frombuffer(fp, np.uint32), np.frombuffer(counts, count_type(min_docs))
+                    often = counts >= min_docs
                     now, rank, keepers = (shard[a], salt[a]), np.cumsum(often) - 1, np.frombuffer(keepers, np.int64)
                     continue
                 assert now == (shard[a], salt[a]), "probes without their shard"
@@ -159,7 +167,7 @@ def _rewrite(min_chars: int, schema: pa.Schema):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, drops in zip(*columns(batch, "_text", "_drops"), strict=True):
+            for text, drops in zip(*columns(batch, "text", "drops"), strict=True):
                 lines = (text or b"").split(b"\n")
                 n = len(lines)
                 if drops:
@@ -167,9 +175,7 @@ def _rewrite(min_chars: int, schema: pa.Schema):
                     lines = [x for x in lines if line_hash(x, min_chars) not in gone]
                 kept = b"\n".join(lines)
                 rows.append((n, n - len(lines), hashlib.sha256(kept).hexdigest(), kept))
-            made = batch_of(schema, rows)
-            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("_text", "_drops")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made.columns], names=[*(batch.schema.names[i] for i in keep), *schema.names])
+            yield with_own(batch, schema.names, batch_of(schema, rows).columns)
 
     return run
 
@@ -198,8 +204,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: list[str] | None = None) -> DataFrame:
     """docs (columns ``keep``, all by default) with n_lines, n_dropped, kept_sha256 and kept_text (binary UTF-8)."""
-    drops = repeated_lines(docs, min_chars, min_docs).groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops")).withColumnRenamed("k", "_k")
-    kept = docs.select(*(docs[c] for c in (docs.columns if keep is None else keep) if c not in MADE.names), doc_key().alias("_k"), F.col("text").cast("binary").alias("_text"))
-    joined = kept.join(drops, "_k", "left").drop("_k")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_drops")]
-    return joined.mapInArrow(_rewrite(min_chars, MADE), ", ".join([*fields, "n_lines long, n_dropped long, kept_sha256 string, kept_text binary"]))
+    drops = repeated_lines(docs, min_chars, min_docs).groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    own, names = own_columns(docs, keep, tuple(MADE.names))
+    joined = docs.select(*own, doc_key().alias("k"), F.col("text").cast("binary").alias("text")).join(drops, "k", "left")
+    made = joined.mapInArrow(_rewrite(min_chars, MADE), schema_with(joined, "n_lines long, n_dropped long, kept_sha256 string, kept_text binary"))
+    return made.select(*given_back(names), *MADE.names)

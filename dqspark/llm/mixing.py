@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import given_back, own_columns
+
 #: Documents of a cell, and the cells that the totals of a pass are kept in at most.
 CELL_DOCS, MOST_CELLS = 4_096, 65_536
 STEPS = 60
@@ -84,11 +86,11 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
     """docs (columns ``keep``, all by default) with mix_source, tokens, alpha, weight, epoch, block and place (from 0 in a block),
     one row for each time that the mix has a document."""
     made = ["mix_source", "tokens", "alpha", "weight", "epoch", "block", "place"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    own, names = own_columns(docs, keep, tuple(made))
     planned = plan(docs, repetition, entropy, budget)
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    own = docs.select(*(docs[c].alias(f"c_{c}") for c in keep), id_.alias("id"), F.coalesce("source", F.lit("")).alias("source"), tokens().alias("tokens"))
-    passes = own.join(planned, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("copies"), F.lit(1)).cast("int") - 1)))
+    rows = docs.select(*own, id_.alias("id"), F.coalesce("source", F.lit("")).alias("source"), tokens().alias("tokens"))
+    passes = rows.join(planned, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("copies"), F.lit(1)).cast("int") - 1)))
     cells = F.least(F.lit(MOST_CELLS), F.ceil(F.col("docs") / F.lit(CELL_DOCS)))
     hashed = passes.withColumn("h", _hash(seed, F.col("id"), F.col("epoch"))).withColumn("cell", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * cells / F.lit(2.0**32)).cast("int"))
     sums = hashed.groupBy("source", "epoch", "cell").agg(F.sum("tokens").alias("in_cell"))
@@ -102,7 +104,7 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
     blocks = F.greatest(F.lit(1), F.ceil(F.col("budget") / F.lit(block_tokens)))
     blocked = taken.withColumn("block", F.floor(F.round(share * blocks, 9)).cast("long")).withColumn("g", _hash(seed + 1, F.col("id"), F.col("epoch")))
     place = F.row_number().over(W.partitionBy("block").orderBy("g", "id", "tokens")).cast("long") - 1  # about block_tokens
-    return blocked.withColumn("place", place).select(*(F.col(f"c_{c}").alias(c) for c in keep), F.col("source").alias("mix_source"), "tokens", F.round("alpha", 6).alias("alpha"), F.round("weight", 6).alias("weight"), "epoch", "block", "place")
+    return blocked.withColumn("place", place).select(*given_back(names), F.col("source").alias("mix_source"), "tokens", F.round("alpha", 6).alias("alpha"), F.round("weight", 6).alias("weight"), "epoch", "block", "place")
 
 
 #: mix() with its defaults, for (doc_id, mix_source, ...) of documents.

@@ -23,10 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import NULL_ID, Out, batch_of, bound_batches, columns, cut, doc_key, mix64, rows_of, ship, window_hashes, word_hashes, written
+from .common import NULL_ID, Out, batch_of, bound_batches, columns, cut, doc_key, given_back, mix64, own_columns, rows_of, scratch, ship, window_hashes, word_hashes, written
 from .components import components
 
 ship(__name__)
@@ -160,8 +161,12 @@ def cluster(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
 
 # --- near copies by shingle similarity ----------------------------------------------------------------------------------
 
-#: Documents (about) whose shingles say which are common, and how many of the commonest are held.
-SAMPLE, COMMON = 8_192, 1 << 18
+#: Texts (about) with a shingle beyond which it is common, and how many of the commonest are told apart at most.
+COMMON, MOST_COMMON = 16, 1 << 24
+#: Shingles that are counted at once, and those of a bucket.
+COUNTED, BUCKET = 4_000_000, 1_000_000
+#: Other sets that a set is held against before all pairs that share a key.
+PARTNERS = 8
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -174,54 +179,124 @@ def set_name(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
 
 
-def parities(h: np.ndarray) -> bytes:
-    """A bit for each bucket of hashes that holds an odd number of them, as many buckets as hashes or more: two sets differ
-    in as many hashes as their parities at least."""
+def parities(h: np.ndarray) -> np.ndarray:
+    """A bit for each bucket of hashes that holds an odd number of them, as many buckets as hashes or more, in longs: two
+    sets differ in as many hashes as their parities at least."""
     buckets = 1 << max(6, (len(h) - 1).bit_length()) if len(h) else 64
-    return np.packbits(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1 == 1, bitorder="little").tobytes()
+    return np.packbits(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1 == 1, bitorder="little").view(np.int64)
 
 
-def parity_distance(a: bytes, b: bytes) -> int:
-    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+def parity_distance(a: Column, b: Column) -> Column:
+    """In how many buckets parities differ. One may have twice the other's longs: its halves are folded onto each other."""
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda t, n: t + n)
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda i, j: i.bitwiseXOR(j))
+    return F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) > F.size(b), differ(half(a), b)).otherwise(differ(a, half(b)))
 
 
-def prefix(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles in the order of (count among the common ones, hash), so many that a set of similarity 0.8 has one
-    of them among its own."""
-    names, counts = common
-    n = np.zeros(len(h), np.int64)
-    if len(names) and len(h):
-        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-        n = np.where(names[at] == h, counts[at], 0)
-    return h[np.lexsort((h, n))][: len(h) - (4 * len(h) + 4) // 5 + 1]
+def may_be_near(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """What sizes and parities don't rule out: sets of n and m shingles and similarity 0.8 differ in (n + m) / 9."""
+    return F.when((5 * F.least(n, m) >= 4 * F.greatest(n, m)), 9 * parity_distance(a, b) <= n + m).otherwise(F.lit(False))
 
 
-def _shingles(size: int):
+def among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of the hashes a table of bits by their low places has."""
+    at = (h.view(np.uint64) & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def prefix(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of (whether it is common, hash), so many that a set of similarity 0.8 has one of them
+    among its own."""
+    often, n = among(h, common), len(h) - (4 * len(h) + 4) // 5 + 1
+    rare = h[~often][:n]
+    return np.concatenate([rare, h[often][: n - len(rare)]])
+
+
+PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _pack(parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Distinct hashes and their counts (up to 65,535; none said if all are 1) by their low bits; 32 bits above are sent."""
+    h, n = np.unique(np.concatenate(parts), return_counts=True)
+    bucket, n = (h & np.uint64((1 << bits) - 1)).astype(np.int64), np.minimum(n, 65_535).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    at, first = np.unique(bucket[order], return_index=True)
+    rows = []
+    for i, own in zip(at.tolist(), np.split(order, first[1:]), strict=True):
+        rows.append((i, (h[own] >> np.uint64(bits)).astype(np.uint32).tobytes(), n[own].tobytes() if (n[own] > 1).any() else b""))
+    return batch_of(PACKED, rows)
+
+
+def _packed(size: int, bits: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        out = Out(pa.schema([("key", pa.int64())]))
+        seen, parts, n = set(), [], 0
         for (text,) in rows_of(batches, "text"):
-            if out.add(shingle_set(text, size).view(np.int64)):
-                yield out.take()
-        yield out.take()
+            h = shingle_set(text, size)
+            if len(h) and (s := set_name(h)) not in seen:
+                seen.add(s)
+                parts.append(h[: 3 * len(h) // 10 + 1])
+                n += len(parts[-1])
+            if n >= COUNTED:
+                yield _pack(parts, bits)
+                parts, n = [], 0
+        if parts:
+            yield _pack(parts, bits)
 
     return run
 
 
-def common_shingles(own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of a sample, in order, with their counts. They only order shingles; what is found rests on
-    the order being one for all texts, not on the sample."""
-    share = own.count() // SAMPLE + 1
-    some = own.filter(F.pmod(F.xxhash64("k", "th"), F.lit(share)) == 0).select("text").mapInArrow(_shingles(size), "key long")
-    table = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
-    names, counts = (table.column(c).to_numpy() for c in ("key", "n"))
-    names = names.astype(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], counts[order].astype(np.int64)
+def _common(bits: int):
+    schema = pa.schema([("th", pa.int64()), ("n", pa.int64())])
+
+    def counted(bucket: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(k := np.concatenate(keys), kind="stable")
+        k, n = k[order], np.concatenate(counts)[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.add.reduceat(n, first)
+        th = (k[first].astype(np.uint64) << np.uint64(bits)) | np.uint64(bucket)
+        return pa.RecordBatch.from_arrays([pa.array(th[n > COMMON].view(np.int64)), pa.array(n[n > COMMON])], schema=schema)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = -1, [], []
+        for bucket, k, n in rows_of(batches, "bucket", "keys", "counts"):
+            if bucket != now and keys:
+                yield counted(now, keys, counts)
+                keys, counts = [], []
+            now = bucket
+            keys.append(np.frombuffer(k, np.uint32))
+            counts.append(np.frombuffer(n, np.uint16) if n else np.ones(len(keys[-1]), np.uint16))
+        if keys:
+            yield counted(now, keys, counts)
+
+    return run
+
+
+def common_shingles(own: DataFrame, size: int) -> np.ndarray:
+    """A table of bits for shingles of more than ``COMMON`` texts among the first three tenths (by hash) of all texts'
+    shingles, 16 MB at most. The table only orders shingles, alike for all texts: what is found doesn't rest on it."""
+    words = own.agg(F.sum(F.length("text"))).head()[0] or 0
+    bits = max(0, (words // 20 // BUCKET).bit_length())  # three tenths of a word for each six characters
+    packed = own.select("text").mapInArrow(_packed(size, bits), "bucket int, keys binary, counts binary")
+    found = cut(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_common(bits), "th long, n long"))
+    least = COMMON
+    while found.filter(F.col("n") > least).count() > MOST_COMMON:
+        least *= 2
+    return held_bits(found.filter(F.col("n") > least))
+
+
+def held_bits(names: DataFrame) -> np.ndarray:
+    """names (longs in column th) as bits of their low places: 2**27 at most, so others may be among them."""
+    size = 1 << min(27, max(16, 5 + names.count().bit_length()))
+    at = F.col("th").bitwiseAND(F.lit(size - 1)) + 1
+    table = names.groupBy(F.bitmap_bucket_number(at).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for i, bits in zip(*(table.column(c).to_pylist() for c in ("at", "bits")), strict=True):
+        out[i - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
 
 def _prefixes(size: int, held):
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a set's keys are given once a task
@@ -235,31 +310,19 @@ def _prefixes(size: int, held):
                 bits.append(None if s in seen else parities(h))
                 keys.append([] if s in seen or not len(h) else prefix(h, held.value).view(np.int64))
                 seen.add(s)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), *(pa.array(x, f.type) for x, f in zip((names, sizes, bits, keys), list(schema)[2:], strict=True))], schema=schema)
 
     return run
 
 
-def held_bits(names: DataFrame) -> np.ndarray:
-    """names (longs in column th) as bits of their low places: 2**27 at most, so others may be among them."""
-    size = 1 << min(27, max(16, 3 + names.count().bit_length()))
-    at = F.col("th").bitwiseAND(F.lit(size - 1)) + 1
-    table = names.groupBy(F.bitmap_bucket_number(at).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
-    out = np.zeros((size >> 15, 4096), np.uint8)
-    for i, bits in zip(*(table.column(c).to_pylist() for c in ("at", "bits")), strict=True):
-        out[i - 1] = np.frombuffer(bits, np.uint8)
-    return out.ravel()
-
-
 def _whole(size: int, held):
     schema = pa.schema([("s", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        seen, asked = set(), held.value
+        seen = set()
         for batch in batches:
-            at = batch.column("th").to_numpy() & (8 * len(asked) - 1)
             rows = []
-            for text in batch.column("text").filter(pa.array(asked[at >> 3] >> (at & 7) & 1 == 1)).to_pylist():
+            for text in batch.column("text").filter(pa.array(among(batch.column("th").to_numpy(), held.value))).to_pylist():
                 h = shingle_set(text, size)
                 s = set_name(h)
                 if s not in seen:
@@ -270,16 +333,6 @@ def _whole(size: int, held):
     return run
 
 
-EDGES_SQL = "x long, y long"
-
-
-def _may_be_near(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs that sizes and parities don't rule out: sets of a and b shingles and similarity 0.8 differ in (a + b) / 9."""
-    for batch in batches:
-        rows = zip(*columns(batch, "x", "y", "nx", "ny", "bx", "by"), strict=True)
-        yield batch_of(EDGES, [(x, y) for x, y, a, b, p, q in rows if 5 * min(a, b) >= 4 * max(a, b) and 9 * parity_distance(p, q) <= a + b])
-
-
 def _are_near(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -290,64 +343,82 @@ def _are_near(batches) -> Iterator[pa.RecordBatch]:
         yield batch_of(EDGES, found)
 
 
-def verified(pairs: DataFrame, sizes: DataFrame, own: DataFrame, size: int) -> DataFrame:
+def verified(open_: DataFrame, sizes: DataFrame, own: DataFrame, size: int) -> DataFrame:
     """Those of pairs (x, y) whose whole sets have similarity 0.8 or more. Texts of open pairs only are hashed again: no
     other set is shuffled."""
-    side = lambda sets, c, *more: sets.select(F.col("s").alias(c), *(F.col(m).alias(m[0] + c) for m in more))
-    open_ = cut(pairs.join(side(sizes, "x", "n", "bits"), "x").join(side(sizes, "y", "n", "bits"), "y").mapInArrow(_may_be_near, EDGES_SQL))
     asked = open_.select(F.col("x").alias("s")).unionByName(open_.select(F.col("y").alias("s"))).distinct()
     held = own.sparkSession.sparkContext.broadcast(held_bits(cut(sizes.join(asked, "s").select("th"))))
     sets = own.select("text", "th").mapInArrow(_whole(size, held), "s long, hashes binary")
     sets = written(sets.groupBy("s").agg(F.first("hashes").alias("hashes")), "sets")
-    return cut(open_.join(side(sets, "x", "hashes"), "x").join(side(sets, "y", "hashes"), "y").mapInArrow(_are_near, EDGES_SQL).distinct())
+    side = lambda c: sets.select(F.col("s").alias(c), F.col("hashes").alias(f"h{c}"))
+    return cut(open_.join(side("x"), "x").join(side("y"), "y").mapInArrow(_are_near, "x long, y long").distinct())
 
 
 def joined(edges: DataFrame) -> DataFrame:
     return components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
+def _pair(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("x"), F.greatest(a, b).alias("y")
+
+
+def partners(multi: DataFrame) -> DataFrame:
+    """Pairs (x, y) of a set and the ``PARTNERS`` that stand for most of its keys: a key is stood for by its least set, and
+    by three sets of about the size, which are the least by a hash and so vary by key."""
+    banded = multi.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))))
+    by_key = banded.groupBy("key").agg(F.min("s").alias("t"))
+    by_band = banded.groupBy("key", "band").agg(F.array(F.min("s"), F.min_by("s", F.xxhash64("s")), F.min_by("s", F.xxhash64("s", "key"))).alias("ts"))
+    near = banded.join(by_band, ["key", "band"]).select("s", F.explode(F.array_distinct("ts")).alias("t"))
+    votes = near.unionByName(banded.join(by_key, "key").select("s", "t")).filter("s <> t").groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
+    ranked = votes.withColumn("i", F.row_number().over(W.partitionBy("s").orderBy(F.desc("n"), "t"))).filter(F.col("i") <= PARTNERS)
+    return ranked.select(*_pair("s", "t")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """(k, component) for documents whose component of near copies (similarity 0.8 or more on the sets of shingles of five
     words) has a smaller id; k is doc_key().
 
     Exact, whatever the number of texts. Equal sets are one. In any order of all shingles, sets of similarity 0.8 share one
-    of the first fifth of each (of the first ninth of the smaller): these are keys, and keys of one set only go. Shingles
-    common in a sample come last in the order, so a passage of many texts is a key only of texts of hardly anything else.
-    First each set is held against the least set of each of its keys, and the least of about its size; pairs are ruled out
-    by sizes and parities and decided on the whole sets. Then all pairs of a key that aren't in one component yet are
-    decided in the same way. A crowded key of near copies is one component by then, so its pairs aren't made.
+    of the first fifth of each (of the first ninth of the smaller): these are keys, and keys of one set only go. Common
+    shingles come last in the order, so a passage of many texts is a key only of texts of hardly anything else. First each
+    set is held against a few sets that share most keys with it; pairs are ruled out by sizes and parities and decided on
+    the whole sets. Then all pairs of a key that aren't in one component yet are decided in the same way: a crowded key of
+    near copies is about one component by then, and pairs whose parities differ too much are never made.
     """
     bound_batches(docs.sparkSession)
     own = docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(own, size))
-    named = written(own.mapInArrow(_prefixes(size, held), "k long, th long, s long, n int, bits binary, keys array<long>"), "prefixes")
-    keys = named.select("s", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = keys.groupBy("key").agg(F.min("s").alias("pivot"), F.max("s").alias("other")).filter("pivot <> other").drop("other")
-    multi = written(keys.join(shared, "key").distinct(), "keys")
-    sizes = written(named.join(multi.select("s").distinct(), "s").groupBy("s").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("th").alias("th")), "sizes")
-
-    pair = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    banded = multi.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))))
-    alike = banded.join(banded.groupBy("key", "band").agg(F.min("s").alias("near")), ["key", "band"])
-    first = cut(multi.filter("s <> pivot").select(*pair("s", "pivot")).unionByName(alike.filter("s <> near").select(*pair("s", "near"))).distinct())
-    edges = verified(first, sizes, own, size)
-
-    now = joined(edges)
-    placed = multi.join(now, multi.s == now.node, "left").select("key", "s", "n", "pos", F.coalesce("component", "s").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    rest = cut(placed.join(mixed, "key"))
-    less, more = rest.filter("pos <= n - (8 * n + 8) div 9").alias("a"), rest.alias("b")
-    fits = "a.key = b.key and a.c <> b.c and a.n <= b.n and 5 * a.n >= 4 * b.n and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)"
-    second = less.join(more, F.expr(fits)).select(*pair("a.s", "b.s")).distinct().join(first, ["x", "y"], "left_anti")
-    all_ = joined(edges.unionByName(verified(cut(second), sizes, own, size)))
-
-    low = named.groupBy("s").agg(F.min("k").alias("low"))
-    rooted = low.join(all_, low.s == all_.node, "left").select("s", "low", F.coalesce("component", "s").alias("root"))
-    least = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component")), "root").select("s", "component")
-    return named.join(least, "s").filter("k <> component").select("k", "component").distinct()
+    with scratch():
+        held = docs.sparkSession.sparkContext.broadcast(common_shingles(own, size))
+        named = written(own.mapInArrow(_prefixes(size, held), "k long, th long, s long, n int, bits array<long>, keys array<long>"), "prefixes")
+        keys = named.select("s", "n", F.posexplode("keys").alias("pos", "key"))
+        shared = keys.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low <> high").select("key")
+        multi = written(keys.join(shared, "key").distinct(), "keys")
+        sizes = written(named.join(multi.select("s").distinct(), "s").groupBy("s").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("th").alias("th")), "sizes")
+
+        side = lambda c: sizes.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+        tried = cut(partners(multi))
+        first = cut(tried.join(side("x"), "x").join(side("y"), "y").filter(may_be_near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))).select("x", "y"))
+        edges = verified(first, sizes, own, size)
+        found = joined(edges)
+
+        placed = multi.join(found, multi.s == found.node, "left").select("key", "s", "n", "pos", F.coalesce("component", "s").alias("c"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+        rest = placed.join(mixed, "key").join(sizes.select("s", "bits"), "s")
+        less, more = rest.filter("pos <= n - (8 * n + 8) div 9").alias("a"), rest.alias("b")
+        fits = F.expr("a.key = b.key and a.c <> b.c and (a.n < b.n or a.n = b.n and a.s < b.s) and 5 * a.n >= 4 * b.n and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
+        near = may_be_near(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"))
+        second = cut(less.join(more, fits & near).select(*_pair("a.s", "b.s")).distinct().join(tried, ["x", "y"], "left_anti"))
+        if not second.isEmpty():
+            found = joined(edges.unionByName(verified(second, sizes, own, size)))
+
+        low = named.groupBy("s").agg(F.min("k").alias("low"))
+        rooted = low.join(found, low.s == found.node, "left").select("s", "low", F.coalesce("component", "s").alias("root"))
+        least = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component")), "root").select("s", "component")
+        return cut(named.join(least, "s").filter("k <> component").select("k", "component").distinct())
 
 
 def dedup(docs: DataFrame, size: int = 5) -> DataFrame:
     """docs without near copies: of each component the rows of the least doc_id stay (rows that share that id all stay)."""
-    gone = near_duplicates(docs, size).select(F.col("k").alias("_gone")).distinct()
-    return docs.withColumn("_k", doc_key()).join(gone, F.col("_k") == F.col("_gone"), "left_anti").drop("_k")
+    own, names = own_columns(docs)
+    gone = near_duplicates(docs, size).select("k").distinct()
+    return docs.select(*own, doc_key().alias("k")).join(gone, "k", "left_anti").select(*given_back(names))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Out, batch_of, bound_batches, columns, covered, cut, doc_key, mix64, rows_of, ship, sliding_min, window_hashes, word_hashes
+from .common import Out, batch_of, bound_batches, columns, covered, cut, doc_key, given_back, mix64, own_columns, rows_of, schema_with, ship, sliding_min, window_hashes, with_own, word_hashes
 
 ship(__name__)
 
@@ -113,19 +113,16 @@ def _remove(window: int):
                     words = [w for w, g in zip(words, out.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
-            made = batch_of(MADE, rows)
-            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("k", "th", "text", "lost", "gone")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made.columns], names=[*(batch.schema.names[i] for i in keep), *MADE.names])
+            yield with_own(batch, MADE.names, batch_of(MADE, rows).columns)
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, keep: list[str] | None = None) -> DataFrame:
-    """docs (columns ``keep``, all by default; ``c_`` before names this operator uses) with n_words, n_removed,
-    kept_sha256 and kept_text (binary UTF-8)."""
+    """docs (columns ``keep``, all by default) with n_words, n_removed, kept_sha256 and kept_text (binary UTF-8)."""
     bound_batches(docs.sparkSession)
-    others = [c for c in (docs.columns if keep is None else keep) if c not in MADE.names]
-    texts = docs.select(*(docs[c].alias(f"c_{c}") for c in others), doc_key().alias("k"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    own, names = own_columns(docs, keep, tuple(MADE.names))
+    texts = docs.select(*own, doc_key().alias("k"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     first = texts.select("k", "th", "text").mapInArrow(_first_level(window), "k long, th long, v long, around long")
     shared = first.groupBy("v").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("alike")).filter("low < high")
     salts = F.when(F.col("n") > HOT, F.ceil(F.sqrt(F.col("n")))).otherwise(1).cast("int").alias("salts")
@@ -141,6 +138,5 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep: list[str] | None =
     lost = left.withColumn("least", F.min("k").over(W.partitionBy("h", "v", "apart"))).filter("apart >= 0 or k > least")
     lost = plan.select("k", "th", "gone").join(lost.groupBy("k", "th").agg(F.collect_set("h").alias("lost")), ["k", "th"], "left")
     joined = texts.join(lost, ["k", "th"], "left")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("k", "th", "text", "lost", "gone")]
-    out = joined.mapInArrow(_remove(window), ", ".join([*fields, "n_words long, n_removed long, kept_sha256 string, kept_text binary"]))
-    return out.withColumnsRenamed({f"c_{c}": c for c in others})
+    out = joined.mapInArrow(_remove(window), schema_with(joined, "n_words long, n_removed long, kept_sha256 string, kept_text binary"))
+    return out.select(*given_back(names), *MADE.names)

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, columns, cut, few, held_out, ship, word_hashes
+from .common import bound_batches, columns, cut, few, given_back, held_out, own_columns, schema_with, ship, with_own, word_hashes
 
 ship(__name__)
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
-#: Standard deviations by which a word's count must leave chance, the least difference of texts, words at most.
-SURE, LEAST, MOST = 3.5, 4.0, 20_000
+#: Standard deviations by which a word's count must leave chance, and the least difference of texts.
+SURE, LEAST = 3.5, 4.0
 THRESHOLD = 0.3
 #: Characters of the beginnings of longer words that are features besides the words.
 STEMS = (4, 5, 6)
@@ -72,13 +72,13 @@ def _features(batches) -> Iterator[pa.RecordBatch]:
 
 
 def select(sample: DataFrame) -> np.ndarray:
-    """Words that tell the classes apart beyond chance (the surest ``MOST`` of them), and identity terms that occur."""
+    """Words that tell the classes apart beyond chance, and identity terms that occur. The sample bounds their number: all
+    of them have more than ``LEAST`` of its texts."""
     n, k = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).head()
     p, terms = k / max(1, n), np.concatenate(identity_groups()).view(np.int64).tolist()
     words = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
     far, sd = F.abs(F.col("k") - p * F.col("n")), F.sqrt(F.col("n") * (p * (1 - p)))
-    is_term = F.col("word").isin(terms)
-    sure = words.filter((far > F.greatest(F.lit(LEAST), SURE * sd)) | is_term).orderBy(F.desc(is_term), F.desc(far / sd), "word").limit(MOST)
+    sure = words.filter((far > F.greatest(F.lit(LEAST), SURE * sd)) | F.col("word").isin(terms))
     return np.sort(np.array([r.word for r in sure.select("word").collect()], np.int64).view(np.uint64))
 
 
@@ -156,9 +156,8 @@ def score_one(text: str | None, model: dict) -> float:
 def _score(held):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([score_one(t, held.value) for t in columns(batch, "_text")[0]], pa.float64())
-            keep = [i for i, f in enumerate(batch.schema) if f.name != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), scores], names=[*(batch.schema.names[i] for i in keep), "score"])
+            scores = pa.array([score_one(t, held.value) for t in columns(batch, "text")[0]], pa.float64())
+            yield with_own(batch, ["held_out", "score"], [batch.column("held_out"), scores])
 
     return run
 
@@ -166,7 +165,7 @@ def _score(held):
 def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs (columns ``keep``, all by default) with held_out, score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
-    own = docs.select(*keep, held_out().alias("held_out"), F.col("text").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "_text"]
-    return own.mapInArrow(_score(held), ", ".join([*fields, "score double"])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    own, names = own_columns(docs, keep, ("held_out", "score", "predicted"))
+    sent = docs.select(*own, held_out().alias("held_out"), F.col("text").alias("text"))
+    scored = sent.mapInArrow(_score(held), schema_with(sent, "held_out boolean, score double"))
+    return scored.select(*given_back(names), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
