@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 #: Stands for a null doc_id wherever ids are compared or joined: smaller than any other id.
 NULL_ID = -(2**63)
 #: Largest Arrow batch sent to a Python worker, so that long texts don't pile up there.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(name: str) -> None:

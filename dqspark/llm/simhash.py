@@ -164,7 +164,7 @@ def cluster(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
 #: Texts (about) with a shingle beyond which it is common, and how many of the commonest are told apart at most.
 COMMON, MOST_COMMON = 16, 1 << 24
 #: Shingles that are counted at once, and those of a bucket.
-COUNTED, BUCKET = 4_000_000, 1_000_000
+COUNTED, BUCKET = 1_000_000, 1_000_000
 #: Other sets that a set is held against before all pairs that share a key.
 PARTNERS = 8
 

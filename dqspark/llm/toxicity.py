@@ -6,7 +6,8 @@ whose counts in toxic and other labelled texts differ by chance alone are left o
 rest get weights by logistic regression. In each labelled text with an identity term, the term is also swapped for each
 other term of its group, and squared changes of the score are a penalty: a mention of one group then weighs what a
 mention of another does, and a group that occurs in toxic texts by accident makes no neutral mention toxic. Terms that no
-labelled text has weigh nothing and are swapped in too; beginnings of terms are no features, so a swap moves nothing else.
+labelled text has weigh nothing and are swapped in too, as is a word that names no group, so that a line whose terms all
+occur isn't toxic as a whole; beginnings of terms are no features, so a swap moves nothing else.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, taken by a hash of the id; every text is scored whole. Defined
 cases: null and empty texts have no words and get the score of the intercept; if the labels have one class or no row,
@@ -93,16 +94,15 @@ def _selected(held):
 
 def swaps(rows: list[np.ndarray], words: np.ndarray) -> dict[tuple[int, int], int]:
     """How many labelled texts have term i, and not j, of the same group: the pairs whose swap changes the text. All terms
-    without a weight are j = -1, counted once each."""
+    without a weight, and a word that names no group, are j = -1, counted once each."""
     out: dict[tuple[int, int], int] = {}
     groups = [([int(i) for i in np.searchsorted(words, g) if i < len(words) and words[i] in g], len(g)) for g in identity_groups()]
     for row in rows:
         for group, size in groups:
             have = {i for i in group if words[i] in row} if group else set()
             for i in have:
-                for j, often in [*((j, 1) for j in group if j not in have), (-1, size - len(group))]:
-                    if often:
-                        out[i, j] = out.get((i, j), 0) + often
+                for j, often in [*((j, 1) for j in group if j not in have), (-1, size - len(group) + 1)]:
+                    out[i, j] = out.get((i, j), 0) + often
     return out
 
 
