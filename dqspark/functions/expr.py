@@ -63,6 +63,7 @@ class Contract:
     line_extreme: float = 10_000
     guest_high: float = 1_000
     rare_country: int = 5
+    customer_re: str = r"^(?:(?:\d{4,6}))$"
     customer_block: tuple[int, int] = (12_000, 19_000)
     window: tuple[str, str] = ("2009-01-01 00:00:00", "2011-12-31 23:59:59")
     years: tuple[int, int] = (2009, 2010)
@@ -79,6 +80,24 @@ def num(name: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+# Layouts of dates that are read besides ISO ones; months come before days.
+DATE_LAYOUTS = [
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yy H:mm", "M/d/yy",
+    "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy H:mm", "d-MMM-yyyy", "d MMM yyyy H:mm", "d MMM yyyy", "MMM d, yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
+]
+
+
+def parsed_date(text: Column) -> Column:
+    """A date and time out of text of any known layout, or null."""
+    t = strip(text)
+    return F.coalesce(F.try_to_timestamp(t), *(F.try_to_timestamp(t, F.lit(x)) for x in DATE_LAYOUTS)).cast("timestamp_ntz")
+
+
+def parse_date(name: str) -> Column:
+    """A column's dates; those stored as such aren't rendered and read again."""
+    return F.coalesce(F.expr(f"try_cast(`{name}` as timestamp_ntz)"), parsed_date(F.col(name).cast("string")))
+
+
 def yes(predicate: Column) -> Column:
     """Unknown counts as no."""
     return F.coalesce(predicate, F.lit(False))

@@ -1,22 +1,30 @@
 """Outlier scores on distinct points: isolation forest, local outlier factor, nearest-neighbour imputation, evaluation.
 
-A score depends on a point only, so points are made distinct, scored, and joined back. What is broadcast (reference
-points, trees) is bounded: beyond ``REFERENCE`` distinct points a hash sample of so many is what points are held against.
+A score depends on a point only, so points are made distinct, scored, and joined back. The forest's trees grow from a
+bounded sample of rows and are broadcast. The outlier factor is exact at any number of points: they are dealt to the leaves
+of a tree of cuts, each leaf finds neighbours among its own, and a point whose neighbours reach over its leaf's edge visits
+the leaves that its reach meets.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .features import scale
+from .order import quantile, running
 
-REFERENCE = 20_000
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
+#: Points of a leaf, and those of the sample from which the cuts are taken (they balance leaves, no result rests on them).
+LEAF, CUTS = 4_000, 20_000
 
 
 def points(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,11 +33,6 @@ def points(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def reference(pts: DataFrame, columns: list[str]) -> np.ndarray:
-    chosen = pts.orderBy(F.xxhash64(*columns), *columns).limit(REFERENCE).select(*columns).collect()
-    return np.array(sorted(tuple(r) for r in chosen), dtype=float).reshape(-1, len(columns))
-
-
 def neighbours(x: np.ndarray, ref: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances and places of the k nearest of ref that aren't the point itself; ties by the order of ref."""
     d = ((x[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)
@@ -42,35 +45,115 @@ def neighbours(x: np.ndarray, ref: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(d, at, axis=1), at
 
 
-def lof(df: DataFrame, columns: list[str], k: int = 20) -> DataFrame:
-    """(columns, n, lof) for each distinct point."""
-    pts = points(df, columns)
-    ref = reference(pts, columns)
-    k = max(1, min(k, len(ref) - 1))
-    if len(ref) < 2:
-        return pts.withColumn("lof", F.lit(1.0))
-    kd, lrd, near = np.zeros(len(ref)), np.zeros(len(ref)), np.zeros((len(ref), k), np.int64)
-    dist = np.zeros((len(ref), k))
-    for i in range(0, len(ref), 256):
-        d, near[i : i + 256] = neighbours(ref[i : i + 256], ref, k)
-        dist[i : i + 256] = np.sqrt(d)
-    kd = dist[:, -1]
-    lrd = 1 / np.maximum(1e-10, np.maximum(dist, kd[near]).mean(axis=1))
-    held = df.sparkSession.sparkContext.broadcast((ref, kd, lrd))
+def _cuts(x: np.ndarray, leaves: int) -> tuple | None:
+    """Nested (column, value, less, more); a leaf is None."""
+    if leaves <= 1 or not len(x) or not (spread := x.max(axis=0) - x.min(axis=0)).any():
+        return None
+    c = int(spread.argmax())
+    at = float(np.median(x[:, c]))
+    if at == x[:, c].min():  # all below the median are alike
+        at = float(x[x[:, c] > at, c].min())
+    left = x[:, c] < at
+    return c, at, _cuts(x[left], leaves // 2), _cuts(x[~left], leaves - leaves // 2)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref, kd, lrd = held.value
+
+def _boxes(tree: tuple | None, low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each leaf's bounds, in order."""
+    if tree is None:
+        return [(low, high)]
+    c, at, less, more = tree
+    below, above = high.copy(), low.copy()
+    below[c] = above[c] = at
+    return _boxes(less, low, below) + _boxes(more, above, high)
+
+
+def _leaf_of(tree: tuple | None, x: np.ndarray) -> np.ndarray:
+    if tree is None:
+        return np.zeros(len(x), np.int64)
+    c, at, less, more = tree
+    left, out = x[:, c] < at, np.zeros(len(x), np.int64)
+    out[left] = _leaf_of(less, x[left])
+    out[~left] = _leaf_of(more, x[~left]) + _size(less)
+    return out
+
+
+def _size(tree: tuple | None) -> int:
+    return 1 if tree is None else _size(tree[2]) + _size(tree[3])
+
+
+NEAR = "near array<struct<d2: double, q: array<double>>>"
+
+
+def _found(x: np.ndarray, ref: np.ndarray, k: int) -> list[list[tuple]]:
+    """For each point up to k nearest of ref (itself not counted), as (squared distance, coordinates)."""
+    if not len(ref):
+        return [[] for _ in x]
+    out = []
+    for i in range(0, len(x), 256):
+        d, at = neighbours(x[i : i + 256], ref, min(k, len(ref)))
+        out += [[(float(a), ref[j].tolist()) for a, j in zip(ds, js, strict=True) if np.isfinite(a)] for ds, js in zip(d, at, strict=True)]
+    return out
+
+
+def nearest(pts: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(p, near): each distinct point and its k nearest others in order; ties by their coordinates."""
+    n = pts.count()
+    sample = pts.orderBy(F.xxhash64(*columns), *columns).limit(CUTS).select(*columns).collect()
+    tree = _cuts(np.array([tuple(r) for r in sample], float).reshape(-1, len(columns)), -(-n // LEAF))
+    boxes = _boxes(tree, np.full(len(columns), -np.inf), np.full(len(columns), np.inf))
+    held = pts.sparkSession.sparkContext.broadcast((tree, np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])))
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
             x = pdf[columns].to_numpy(float)
-            for i in range(0, len(x), 256):
-                d, at = neighbours(x[i : i + 256], ref, k)
-                own = 1 / np.maximum(1e-10, np.maximum(np.sqrt(d), kd[at]).mean(axis=1))
-                out.append(lrd[at].mean(axis=1) / own)
-            yield pdf.assign(lof=np.concatenate(out) if out else [])
+            yield pd.DataFrame({"leaf": _leaf_of(held.value[0], x), "p": x.tolist()})
+
+    def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["p"].tolist(), float)
+        x = x[np.lexsort(x.T[::-1])]
+        return pd.DataFrame({"leaf": key[0], "p": x.tolist(), "near": _found(x, x, k)})
 
-    schema = ", ".join([*(f"`{c}` double" for c in columns), "n long, lof double"])
-    return pts.mapInPandas(score, schema)
+    def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = held.value[1:]
+        for pdf in frames:
+            rows = []
+            for leaf, p, near in zip(pdf["leaf"], pdf["p"], pdf["near"], strict=True):
+                reach = near[-1]["d2"] if len(near) == k else np.inf
+                gap = np.maximum(0, np.maximum(low - np.array(p), np.array(p) - high))
+                met = np.flatnonzero((gap**2).sum(axis=1) <= reach)
+                rows += [(int(i), p) for i in met if i != leaf]
+            yield pd.DataFrame(rows, columns=["leaf", "p"])
+
+    def visited(key, own: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        ref, x = (np.array(f["p"].tolist(), float).reshape(-1, len(columns)) for f in (own, guests))
+        ref = ref[np.lexsort(ref.T[::-1])]
+        return pd.DataFrame({"p": x.tolist(), "near": _found(x, ref, k)})
+
+    dealt = pts.select(*columns).mapInPandas(deal, "leaf long, p array<double>").cache()
+    own = dealt.groupBy("leaf").applyInPandas(inside, f"leaf long, p array<double>, {NEAR}").cache()
+    if len(boxes) == 1:
+        return own.select("p", "near")
+    guests = own.mapInPandas(visits, "leaf long, p array<double>")
+    more = dealt.groupBy("leaf").cogroup(guests.groupBy("leaf")).applyInPandas(visited, f"p array<double>, {NEAR}")
+    both = own.select("p", "near").unionByName(more).groupBy("p").agg(F.collect_list("near").alias("all"))
+    return both.select("p", F.slice(F.array_sort(F.flatten("all")), 1, k).alias("near"))
+
+
+def lof(df: DataFrame, columns: list[str], k: int = 20) -> DataFrame:
+    """(columns, n, lof) for each distinct point."""
+    pts = points(df, columns).cache()
+    total = pts.count()
+    if total < 2:
+        return pts.withColumn("lof", F.lit(1.0))
+    k = max(1, min(k, total - 1))
+    near = nearest(pts, columns, k).cache()
+    each = near.select("p", F.explode("near").alias("x")).select("p", F.col("x.q").alias("q"), F.sqrt("x.d2").alias("d"))
+    far = near.select(F.col("p").alias("q"), F.sqrt(F.element_at("near", -1)["d2"]).alias("far"))
+    density = each.join(far, "q").groupBy("p").agg((1 / F.greatest(F.lit(1e-10), F.avg(F.greatest("d", "far")))).alias("density")).cache()
+    around = each.join(density.withColumnsRenamed({"p": "q", "density": "theirs"}), "q").groupBy("p").agg(F.avg("theirs").alias("theirs"))
+    scored = around.join(density, "p").select("p", (F.col("theirs") / F.col("density")).alias("lof"))
+    named = scored.select(*(F.col("p")[i].alias(c) for i, c in enumerate(columns)), "lof")
+    return pts.join(named, columns)
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int) -> tuple:
@@ -121,16 +204,15 @@ def isolation_forest(df: DataFrame, columns: list[str], trees: int = 200, subsam
 
 
 def flag_top(scored: DataFrame, column: str, contamination: float = 0.01) -> DataFrame:
-    cut = scored.agg(F.percentile(column, F.lit(1 - contamination))).head()[0]
-    return scored.withColumn("is_outlier", F.col(column) > F.lit(cut))
+    scored = scored.cache()
+    return scored.withColumn("is_outlier", F.col(column) > F.lit(quantile(scored, column, 1 - contamination)))
 
 
 def flag_points(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
     """(columns, n, if_score, lof, is_if, is_lof) for each distinct point; the forest's cut is by rows, the factor's by points."""
-    forest = isolation_forest(df, columns, trees).withColumnRenamed("score", "if_score")
-    factor = lof(df, columns).drop("n")
-    if_cut = forest.agg(F.percentile("if_score", F.lit(1 - contamination), F.col("n"))).head()[0]
-    lof_cut = factor.agg(F.percentile("lof", F.lit(1 - contamination))).head()[0]
+    forest = isolation_forest(df, columns, trees).withColumnRenamed("score", "if_score").cache()
+    factor = lof(df, columns).drop("n").cache()
+    if_cut, lof_cut = quantile(forest, "if_score", 1 - contamination, "n"), quantile(factor, "lof", 1 - contamination)
     return forest.join(factor, columns).withColumns({"is_if": F.col("if_score") > F.lit(if_cut), "is_lof": F.col("lof") > F.lit(lof_cut)})
 
 
@@ -152,16 +234,16 @@ def evaluate(df: DataFrame, columns: list[str], contamination: float = 0.01, tre
     """(model, tp, fp, fn, tn, precision, recall, f1, auc, precision_at_k) on rows with injected outliers: each model, rows
     that either or both flag (scored by the mean of the percent ranks). K is the number of injected rows; rows tied at the
     K-th place count by their share."""
-    rows = standardised(inject(df), columns)
-    flagged = flag_points(rows, columns, contamination, trees)
-    scored = combined_rank(rows.select("label", *columns).join(flagged.drop("n"), columns), "if_score", "lof")
+    rows = standardised(inject(df), columns).cache()
+    flagged = combined_rank(flag_points(rows, columns, contamination, trees).cache(), "if_score", "lof", "n")
+    scored = rows.select("label", *columns).join(flagged.drop("n"), columns)
     models = {"isolation_forest": ("if_score", F.col("is_if")), "lof": ("lof", F.col("is_lof")), "either": ("combined", F.col("is_if") | F.col("is_lof")), "both": ("combined", F.col("is_if") & F.col("is_lof"))}
     each = scored.select("label", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(s).alias("score"), f.alias("flag")) for m, (s, f) in models.items()))).alias("x")).select("label", "x.*")
     hit = F.col("label") == 1
-    by = each.groupBy("model", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"), F.count_if(hit & F.col("flag")).alias("tp"), F.count_if(~hit & F.col("flag")).alias("fp"))
-    above = W.partitionBy("model").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)  # distinct scores
-    all_ = W.partitionBy("model")
-    ranked = by.withColumns({"pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0)), "neg_above": F.coalesce(F.sum("neg").over(above), F.lit(0)), "k": F.sum("pos").over(all_)})
+    by = each.groupBy("model", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"), F.count_if(hit & F.col("flag")).alias("tp"), F.count_if(~hit & F.col("flag")).alias("fp")).cache()
+    totals = F.broadcast(by.groupBy("model").agg(F.sum("pos").alias("k"), F.sum("neg").alias("all_neg")))  # four rows
+    ranked = running(by, "score", ["pos", "neg"], ["model"]).join(totals, "model")
+    ranked = ranked.withColumns({"pos_above": F.col("k") - F.col("pos_below") - F.col("pos"), "neg_above": F.col("all_neg") - F.col("neg_below") - F.col("neg")})
     room = F.greatest(F.lit(0), F.col("k") - F.col("pos_above") - F.col("neg_above"))
     ranked = ranked.withColumns({"wins": F.col("neg") * (F.col("pos_above") + 0.5 * F.col("pos")), "top": F.col("pos") * F.least(F.lit(1.0), room / (F.col("pos") + F.col("neg")))})
     one = ranked.groupBy("model").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), (F.sum("pos") - F.sum("tp")).alias("fn"), (F.sum("neg") - F.sum("fp")).alias("tn"), F.sum("wins").alias("wins"), F.sum("top").alias("top"))
@@ -170,17 +252,25 @@ def evaluate(df: DataFrame, columns: list[str], contamination: float = 0.01, tre
     return one.select("model", "tp", "fp", "fn", "tn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(F.col("wins"), (tp + fn) * (fp + tn)).alias("auc"), share(F.col("top"), tp + fn).alias("precision_at_k"))
 
 
-def pct_rank(column: str, by: list[str] | None = None) -> tuple[Column, Column]:
-    """Windows for an average rank over n: rows that are alike share the mean of their ranks. Ranks are global, so they
-    are taken over distinct points (reduced before), not over rows."""
-    w = W.partitionBy(*(by or [])).orderBy(column)
-    same = W.partitionBy(*(by or []), column)
-    rank = F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2
-    return rank, rank / F.count(F.lit(1)).over(W.partitionBy(*(by or [])))
+def recall_by_model(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
+    """(model, anomaly_type, n, recall) on injected rows, at the models' own cuts."""
+    rows = standardised(inject(df), columns).cache()
+    flagged = flag_points(rows, columns, contamination, trees)
+    hits = rows.filter("label = 1").select("anomaly_type", *columns).join(flagged, columns)
+    models = {"isolation_forest": F.col("is_if"), "lof": F.col("is_lof"), "either": F.col("is_if") | F.col("is_lof"), "both": F.col("is_if") & F.col("is_lof")}
+    each = hits.select("anomaly_type", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), x.alias("hit")) for m, x in models.items()))).alias("x")).select("anomaly_type", "x.*")
+    return each.groupBy("model", "anomaly_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("hit").cast("double")), 4).alias("recall"))
 
 
-def combined_rank(scored: DataFrame, a: str, b: str) -> DataFrame:
-    return scored.withColumn("combined", (pct_rank(a)[1] + pct_rank(b)[1]) / 2)
+def combined_rank(scored: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
+    """scored with the mean of both scores' percent ranks; a row counts ``weight`` times, alike rows share a mean rank."""
+    out = scored.withColumn("_n", F.col(weight) if weight else F.lit(1))
+    total = out.agg(F.sum("_n")).head()[0] or 1
+    parts = []
+    for i, c in enumerate((a, b)):
+        out = running(out, c, ["_n"]).withColumn(f"_r{i}", (F.col("_n_below") + (F.col("_n_same") + 1) / 2) / F.lit(total)).drop("_n_below", "_n_same")
+        parts.append(F.col(f"_r{i}"))
+    return out.withColumn("combined", (parts[0] + parts[1]) / 2).drop("_n", "_r0", "_r1")
 
 
 def top_union(scored: DataFrame, a: str, b: str, keys: list[str], k: int = 10) -> DataFrame:
@@ -191,42 +281,71 @@ def top_union(scored: DataFrame, a: str, b: str, keys: list[str], k: int = 10) -
     return found.select(*keys, a, b, source.alias("source"))
 
 
+def _fills(df: DataFrame, known: str, wanted: str, k: int) -> DataFrame:
+    """(known, fill) for each value of known beside which wanted is missing. Rows that have both are donors. Those with the
+    same value win, all of them; else the k nearest donor rows, and all as near as the last, weigh by inverse distance.
+
+    Values without their like among donors are found by ranges: each range's k outermost donor values go to the others
+    through the driver, so that neighbours beyond a range's edge are known in it."""
+    donors = df.filter(F.col(known).isNotNull() & F.col(wanted).isNotNull()).groupBy(F.col(known).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(wanted).alias("s")).cache()
+    asked = df.filter(F.col(known).isNotNull() & F.col(wanted).isNull()).select(F.col(known).alias("v")).distinct().cache()
+    same = asked.join(donors, "v").select(F.col("v").alias(known), (F.col("s") / F.col("n")).alias("fill"))
+    rest = asked.join(donors, "v", "left_anti").cache()
+    total = donors.count()
+    if not total or rest.isEmpty():
+        return same
+    parts = -(-total // 50_000)
+    edges = sorted(set(donors.approxQuantile("v", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    at = (F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= F.col("v"))) if edges else F.lit(0)).alias("bin")
+    binned, lost = donors.select("v", "n", "s", at), rest.select("v", at)
+    first, last = (F.row_number().over(W.partitionBy("bin").orderBy(o)) for o in ("v", F.desc("v")))
+    outer = sorted(tuple(r) for r in binned.withColumns({"i": first, "j": last}).filter((F.col("i") <= k) | (F.col("j") <= k)).select("v", "n", "s", "bin").collect())
+    held = df.sparkSession.sparkContext.broadcast(np.array(outer, float).reshape(-1, 4))
+
+    def fill(key, own: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
+        beyond = held.value[held.value[:, 3] != key[0], :3]
+        x = np.concatenate([own[["v", "n", "s"]].to_numpy(float), beyond])
+        x, out = x[np.argsort(x[:, 0])], []
+        for v in lost["v"].to_numpy(float):
+            i = int(np.searchsorted(x[:, 0], v))
+            near = x[max(0, i - k) : i + k]
+            d = np.abs(near[:, 0] - v)
+            order = np.argsort(d, kind="stable")
+            enough = np.cumsum(near[order, 1]) >= k
+            reach = d[order][enough.argmax()] if enough.any() else d.max()
+            w = np.where(d <= reach, 1 / d, 0.0)
+            out.append(float((near[:, 2] * w).sum() / (near[:, 1] * w).sum()))
+        return pd.DataFrame({known: lost["v"].to_numpy(float), "fill": out})
+
+    return same.unionByName(binned.groupBy("bin").cogroup(lost.groupBy("bin")).applyInPandas(fill, f"`{known}` double, fill double"))
+
+
 def knn_impute(df: DataFrame, a: str = "Quantity", b: str = "UnitPrice", k: int = 5) -> DataFrame:
-    """Gaps of either measure from the k donors nearest by the other, weighted by inverse distance (equal ones win);
-    rows that lack both get the medians. a is rounded to whole numbers. Donors are distinct complete points."""
-    donors = reference(df.select(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).dropna().groupBy(a, b).count(), [a, b])
-    med = df.agg(F.median(a), F.median(b)).head()
-    held = df.sparkSession.sparkContext.broadcast(donors)
-
-    def filler(known: int, wanted: int):
-        @F.pandas_udf("double")
-        def fill(x: pd.Series) -> pd.Series:
-            pts, out = held.value, []
-            order = np.argsort(pts[:, known], kind="stable")
-            keys, values = pts[order, known], pts[order, wanted]
-            for v in x:
-                at = int(np.searchsorted(keys, v))
-                near = np.arange(max(0, at - k), min(len(keys), at + k))
-                near = near[np.argsort(np.abs(keys[near] - v), kind="stable")[:k]]
-                d = np.abs(keys[near] - v)
-                w = (d == 0).astype(float) if (d == 0).any() else 1 / d
-                out.append(float((values[near] * w).sum() / w.sum()) if len(near) else None)
-            return pd.Series(out, dtype=float)
-
-        return fill
-
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    new_a = F.when(x.isNotNull(), x).when(y.isNotNull(), F.round(filler(1, 0)(F.coalesce(y, F.lit(0.0))))).otherwise(F.lit(med[0]))
-    new_b = F.when(y.isNotNull(), y).when(x.isNotNull(), filler(0, 1)(F.coalesce(x, F.lit(0.0)))).otherwise(F.lit(med[1]))
-    return df.withColumns({a: new_a, b: new_b})
+    """Gaps of either measure from the k donor rows nearest by the other, weighted by inverse distance (equal ones win); rows
+    that lack both, and all gaps if there is no donor, get the medians. a is rounded to whole numbers."""
+    own = df.withColumns({a: F.col(a).cast("double"), b: F.col(b).cast("double")}).cache()
+    medians = {c: quantile(own, c, 0.5) for c in (a, b)}
+    fills = {a: _fills(own, b, a, k).withColumnsRenamed({b: "_at_b", "fill": "_fill_a"}), b: _fills(own, a, b, k).withColumnsRenamed({a: "_at_a", "fill": "_fill_b"})}
+    out = own.join(fills[a], F.col(b) == F.col("_at_b"), "left").join(fills[b], F.col(a) == F.col("_at_a"), "left")
+    new_a = F.coalesce(F.col(a), F.round("_fill_a"), F.lit(medians[a]).cast("double"))
+    new_b = F.coalesce(F.col(b), F.col("_fill_b"), F.lit(medians[b]).cast("double"))
+    return out.withColumns({a: new_a, b: new_b}).select(*df.columns)
+
+
+def hidden(share: int, salt: int) -> Column:
+    """Which rows hide a cell: about one of ``share``, by arithmetic on row_id."""
+    return F.pmod((F.col("row_id") * 1103515245 + salt) % 2147483648, F.lit(share)) == 0
 
 
 def knn_verify(df: DataFrame, share: int = 20, k: int = 5) -> DataFrame:
-    """One row: one of ``share`` prices is hidden and filled; n, mean absolute error, share of exact fills."""
-    masked = df.withColumn("_true", F.col("UnitPrice").cast("double")).withColumn("_hide", F.pmod(F.xxhash64("row_id"), F.lit(share)) == 0)
-    filled = knn_impute(masked.withColumn("UnitPrice", F.when(~F.col("_hide"), F.col("UnitPrice"))), k=k).filter("_hide and _true is not null")
-    e = F.abs(F.col("UnitPrice") - F.col("_true"))
-    return filled.agg(F.count(F.lit(1)).alias("n_masked"), F.round(F.avg(e), 4).alias("mae"), F.round(F.avg((e < 0.005).cast("double")), 4).alias("exact_match"))
+    """One row: about one of ``share`` cells of either measure is hidden and filled; n, mean absolute error, exact fills."""
+    salts = {"Quantity": 12345, "UnitPrice": 54321}
+    true = df.withColumns({f"_true_{c}": F.col(c).cast("double") for c in salts})
+    masked = true.withColumns({c: F.when(~hidden(share, s), F.col(c)) for c, s in salts.items()})
+    filled = knn_impute(masked, k=k)
+    cells = F.array(*(F.when(hidden(share, s) & F.col(f"_true_{c}").isNotNull(), F.abs(F.col(c) - F.col(f"_true_{c}"))) for c, s in salts.items()))
+    e = filled.select(F.explode(F.array_compact(cells)).alias("e"))
+    return e.agg(F.count(F.lit(1)).alias("n_masked"), F.round(F.avg("e"), 4).alias("mae"), F.round(F.avg((F.col("e") < 0.005).cast("double")), 4).alias("exact_match"))
 
 
 def inject(df: DataFrame, n: int = 25) -> DataFrame:
@@ -258,24 +377,29 @@ def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area: chances that a positive outranks a negative, ties half."""
-    w = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)  # over distinct scores
-    each = by_score(df, label, score).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
+    each = running(by_score(df, label, score).cache(), "score", ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return each.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.round(F.try_divide(wins.cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")), 6).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    w, everything = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy()
-    each = by_score(df, label, score)
-    rate = lambda c: F.round(F.coalesce(F.try_divide(F.sum(c).over(w).cast("double"), F.sum(c).over(everything).cast("double")), F.lit(0.0)), 6)
-    return each.select(F.col("score").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
+    each = by_score(df, label, score).cache()
+    total = each.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).head()
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.lit(float(total[c] or 0)) - F.col(f"{c}_below"), F.lit(float(total[c] or 0))), F.lit(0.0)), 6)
+    return running(each, "score", ["pos", "neg"]).select(F.col("score").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
 
 
 def precision_at_k(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
-    """K is the number of positives; ties by key."""
-    k = df.filter(F.col(label) == 1).count()
-    top = df.orderBy(F.desc(score), key).limit(k)
-    return top.agg(F.lit(k).cast("long").alias("k"), F.round(F.coalesce(F.avg((F.col(label) == 1).cast("double")), F.lit(0.0)), 4).alias("precision_at_k"))
+    """K is the number of positives; ties by key. Whole scores are counted, and only the rows of the one score at which K is
+    reached are put in order."""
+    each = by_score(df, label, score).withColumn("n", F.col("pos") + F.col("neg")).cache()
+    total = each.agg(F.sum("n").alias("n"), F.sum("pos").alias("k")).head()
+    k, above = total.k or 0, F.lit(total.n or 0) - F.col("n_below") - F.col("n_same")
+    ranked = running(each, "score", ["n"]).withColumn("above", above).filter(F.col("above") < k).cache()
+    whole = ranked.filter(F.col("above") + F.col("n") <= k).agg(F.sum("pos")).head()[0] or 0
+    cut = ranked.filter(F.col("above") + F.col("n") > k).head()
+    part = 0 if cut is None else df.filter(F.col(score) == cut.score).orderBy(key).limit(k - cut.above).agg(F.count_if(F.col(label) == 1)).head()[0]
+    return df.sparkSession.createDataFrame([(k, round((whole + part) / k, 4) if k else 0.0)], "k long, precision_at_k double")
 
 
 def recall_by_type(df: DataFrame, kind: str, predicted: str) -> DataFrame:

@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import difflib
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.expr import CANONICAL, changed, country, num, squeeze
+from ..functions.expr import CANONICAL, changed, country, num, parse_date, squeeze
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 
 def normalise(df: DataFrame) -> DataFrame:
     """Text squeezed and upper-cased, countries resolved, dates parsed (or null)."""
     return df.withColumns({
         "StockCode": squeeze(F.col("StockCode")), "Description": squeeze(F.col("Description")), "Country": country(F.col("Country")),
-        "InvoiceDate": F.expr("try_cast(InvoiceDate as timestamp_ntz)"),
+        "InvoiceDate": parse_date("InvoiceDate"),
     })
 
 
 def normalise_log(df: DataFrame) -> DataFrame:
     """How many values of each column normalising changes."""
     after = {"StockCode": squeeze(F.col("StockCode")), "Description": squeeze(F.col("Description")), "Country": country(F.col("Country"))}
-    log = df.agg(*(F.count_if(changed(F.col(c), x)).alias(c) for c, x in after.items()), F.count_if(F.col("InvoiceDate").isNotNull() & F.expr("try_cast(InvoiceDate as timestamp_ntz)").isNull()).alias("InvoiceDate"))
+    log = df.agg(*(F.count_if(changed(F.col(c), x)).alias(c) for c, x in after.items()), F.count_if(F.col("InvoiceDate").isNotNull() & parse_date("InvoiceDate").isNull()).alias("InvoiceDate"))
     return log.select(F.explode(F.create_map(*(x for c in (*after, "InvoiceDate") for x in (F.lit(c), F.col(c))))).alias("column", "n_changed"))
 
 

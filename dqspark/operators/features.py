@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import CANONICAL, Contract, country, num, squeeze, strip, yes
+from ..functions.expr import CANONICAL, Contract, country, num, parse_date, squeeze, strip, yes
+from . import drift, rules
 
 
 def extract(df: DataFrame) -> DataFrame:
     """LineValue, three flags and six calendar parts, where they are absent."""
-    d, q, p = F.col("InvoiceDate"), num("Quantity"), num("UnitPrice")
+    d, q, p = parse_date("InvoiceDate"), num("Quantity"), num("UnitPrice")
     new = {
         "LineValue": F.bround(q * p, 2) + F.lit(0.0), "IsCancellation": yes(F.col("InvoiceNo").startswith("C")), "IsReturn": yes(q < 0), "IsGiveaway": yes(p == 0),
         "InvoiceYear": F.year(d), "InvoiceMonth": F.month(d), "InvoiceDay": F.dayofmonth(d), "InvoiceHour": F.hour(d), "InvoiceWeekday": F.weekday(d), "InvoiceQuarter": F.quarter(d),
@@ -36,7 +37,7 @@ def one_hot(df: DataFrame, column: str = "Country", most: int = 1_000) -> DataFr
 
 def valid(c: Contract) -> Column:
     """All hard constraints of a row."""
-    q, p, d = num("Quantity"), num("UnitPrice"), F.expr("try_cast(InvoiceDate as timestamp_ntz)")
+    q, p, d = num("Quantity"), num("UnitPrice"), parse_date("InvoiceDate")
     cid = num("CustomerID")
     return (
         yes(F.col("InvoiceNo").rlike(c.invoice_re)) & yes(F.col("StockCode").rlike(c.stock_re))
@@ -51,7 +52,7 @@ def valid(c: Contract) -> Column:
 
 def consistent() -> Column:
     same = [F.coalesce(F.col(c), F.lit("")) == F.coalesce(x, F.lit("")) for c, x in (("StockCode", squeeze(F.col("StockCode"))), ("Description", squeeze(F.col("Description"))), ("Country", country(F.col("Country"))))]
-    return same[0] & same[1] & same[2] & F.expr("try_cast(InvoiceDate as timestamp_ntz)").isNotNull()
+    return same[0] & same[1] & same[2] & parse_date("InvoiceDate").isNotNull()
 
 
 def quality(df: DataFrame, contract: Contract | None = None) -> DataFrame:
@@ -75,3 +76,11 @@ def health(n_rows: int, n_hard: int, n_review: int, n_both: int, drift: float |
     parts = {"validity": good(n_hard), "anomaly": good(n_both), "consistency": good(n_review), "stability": 100.0 * (1 - min(1.0, (drift or 0.0) / 0.5))}
     score = round(0.4 * parts["validity"] + 0.25 * parts["anomaly"] + 0.2 * parts["consistency"] + 0.15 * parts["stability"], 2)
     return {"score": score, "grade": "Healthy" if score >= 95 else "Watch" if score >= 80 else "Review"} | {k: round(v, 2) for k, v in parts.items()}
+
+
+def health_score(df: DataFrame, both: DataFrame, c: Contract | None = None) -> DataFrame:
+    """One row: score, grade and its four parts. both: the rows that both outlier models flag."""
+    c = c or Contract()
+    sev, d = rules.rows_by_severity(df, c).head(), drift.verdict(df, c.years).head()
+    one = health(sev.n_rows, sev.n_hard, sev.n_review, both.count(), d.max_rel_change)
+    return df.sparkSession.createDataFrame([one], "score double, grade string, validity double, anomaly double, consistency double, stability double")

@@ -6,13 +6,14 @@ and distinct counts never multiply rows by columns.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import PATTERNS, adjusted_kurtosis, adjusted_skew, correlation, integral, num, strip
+from ..functions.expr import PATTERNS, adjusted_kurtosis, adjusted_skew, correlation, integral, num, parse_date, parsed_date, strip
 
 MONTHS = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 # Name parts that hint at personal data; the first that occurs counts.
@@ -36,7 +37,12 @@ def distinct_values(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def missing_per_column(df: DataFrame) -> DataFrame:
-    return tall(df).groupBy("column").agg(F.count_if(F.col("value").isNull()).alias("n_missing"), F.round(100.0 * F.count_if(F.col("value").isNull()) / F.count(F.lit(1)), 2).alias("missing_pct"))
+    """(column, n_missing, missing_pct): one pass, a counter for each column."""
+    names = {c: f"n_{i}" for i, c in enumerate(df.columns)}
+    one = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(n) for c, n in names.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(n).alias("n_missing")) for c, n in names.items())))
+    pct = F.round(F.coalesce(F.try_divide(100.0 * F.col("n_missing"), F.col("n")), F.lit(0.0)), 2)
+    return one.select("n", each.alias("x")).select("n", "x.*").select("column", "n_missing", pct.alias("missing_pct"))
 
 
 def _missing(df: DataFrame) -> Column:
@@ -70,25 +76,41 @@ def column_profile(df: DataFrame) -> DataFrame:
     return n.join(u, "column", "left").select("column", "n_rows", "n_null", F.round(100.0 * F.col("n_null") / F.col("n_rows"), 2).alias("null_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "min_text", "max_text")
 
 
+def _predicates(v: Column) -> dict[str, Column]:
+    """What a value as text looks like."""
+    t = strip(v)
+    return {
+        "n_int": t.rlike(PATTERNS["int"]), "n_float": t.rlike(PATTERNS["float"]), "n_dateish": t.rlike("[-/:]") | t.rlike(MONTHS), "n_date": t.rlike("[-/: ]") & parsed_date(t).isNotNull(),
+        "n_bool": F.lower(t).isin("true", "false", "0", "1"), "n_suffix": t.rlike(r"^[+-]?\d+[A-Za-z]+$"), "n_cancelled": t.rlike(PATTERNS["cancelled"]), "n_blank": t == "",
+        "n_email": t.rlike(PATTERNS["email"]), "n_url": t.rlike(PATTERNS["url"]), "n_phone": t.rlike(PATTERNS["phone"]),
+    }
+
+
 def shapes(df: DataFrame) -> DataFrame:
     """Counts of values of each shape by column, with the number of distinct values. Each distinct value is judged once
     and weighs as many rows as have it."""
-    t = strip(F.col("value"))
-    preds = {
-        "n_int": t.rlike(PATTERNS["int"]), "n_float": t.rlike(PATTERNS["float"]), "n_dateish": t.rlike("[-/:]") | t.rlike(MONTHS), "n_date": F.try_to_timestamp(t).isNotNull() & t.rlike("[-/:]"),
-        "n_bool": F.lower(t).isin("true", "false", "0", "1"), "n_suffix": t.rlike(r"^\d+[A-Za-z]+$"), "n_cancelled": t.rlike(PATTERNS["cancelled"]), "n_blank": t == "",
-        "n_email": t.rlike(PATTERNS["email"]), "n_url": t.rlike(PATTERNS["url"]), "n_phone": t.rlike(PATTERNS["phone"]),
-    }
     each = tall(df).groupBy("column", "value").agg(F.count(F.lit(1)).alias("m"))
     total = lambda p: F.coalesce(F.sum(F.when(p, F.col("m"))), F.lit(0))
-    return each.groupBy("column").agg(total(F.col("value").isNotNull()).alias("n"), F.count("value").alias("n_unique"), *(total(p).alias(k) for k, p in preds.items()))
+    preds = _predicates(F.col("value"))
+    return each.groupBy("column").agg(F.sum("m").alias("n_rows"), total(F.col("value").isNotNull()).alias("n"), F.count("value").alias("n_unique"), *(total(p).alias(k) for k, p in preds.items()))
+
+
+def _stored(df: DataFrame, *kinds: str) -> Column:
+    """Whether the column (by name) is stored in one of the kinds."""
+    return F.col("column").isin([c for c, k in df.dtypes if any(k.startswith(x) for x in kinds)])
+
+
+def _dtype(df: DataFrame) -> Column:
+    n, text = F.col("n"), _stored(df, "string")
+    date = text & (F.col("n_dateish") >= 0.5 * n) & (F.col("n_date") >= 0.9 * n)
+    kind = F.when(n == 0, "string").when(_stored(df, "boolean") | (F.col("n_bool") == n) & (F.col("n_unique") <= 2), "boolean").when(_stored(df, "timestamp", "date") | date, "date")
+    return kind.when(F.col("n_int") == n, "int").when(F.col("n_float") == n, "float").otherwise("string")
 
 
 def infer_dtype(df: DataFrame) -> DataFrame:
-    """(column, dtype): boolean if all values are of true, false, 0, 1 and two or fewer; date; int; float; string."""
-    n = F.col("n")
-    kind = F.when(n == 0, "string").when((F.col("n_bool") == n) & (F.col("n_unique") <= 2), "boolean").when((F.col("n_dateish") >= 0.5 * n) & (F.col("n_date") >= 0.9 * n), "date").when(F.col("n_int") == n, "int").when(F.col("n_float") == n, "float").otherwise("string")
-    return shapes(df).select("column", kind.alias("dtype"))
+    """(column, dtype): string if empty; boolean if stored so, or if all values are of true, false, 0, 1 and two or fewer;
+    date if stored so, or text of which most looks like dates and nine tenths are some; int; float; string."""
+    return shapes(df).select("column", _dtype(df).alias("dtype"))
 
 
 def mixed_type(df: DataFrame, least: int = 5, share: float = 0.005) -> DataFrame:
@@ -99,21 +121,51 @@ def mixed_type(df: DataFrame, least: int = 5, share: float = 0.005) -> DataFrame
     return s.select("column", F.col("n_float").alias("n_numeric"), "n_text", F.round(r, 4).alias("numeric_ratio"), "n_suffix", "n_cancelled", mixed.alias("is_mixed"))
 
 
+# The meaning of the eight known columns.
+SEMANTICS = {
+    "InvoiceNo": "invoice_id", "StockCode": "product_id (SKU)", "Description": "product_description", "Quantity": "quantity",
+    "InvoiceDate": "transaction_datetime", "UnitPrice": "unit_price", "CustomerID": "customer_id", "Country": "country",
+}
+
+
 def infer_semantic(df: DataFrame) -> DataFrame:
-    """(column, semantic): detectors in order over names and shapes, for tables of any columns."""
-    name, n = F.lower("column"), F.col("n")
+    """(column, semantic): known columns by name; others by detectors in order over names, types and shapes."""
+    s = shapes(df).withColumn("dtype", _dtype(df))
+    name, n, t = F.lower("column"), F.col("n"), F.col("dtype")
     rate = lambda c: (F.col(c) >= 0.9 * n) & (n > 0)
-    kind = F.when(name.rlike("date|time"), "datetime").when((F.col("n_bool") == n) & (F.col("n_unique") <= 2) & (n > 0), "boolean").when((F.col("n_email") == n) & (n > 0), "email").when(rate("n_url"), "url").when(name.rlike("price|amount"), "price").when(name.rlike("qty|quantity"), "quantity").when(name.rlike("(^|_)id$|key$|no$|code$"), "identifier").when(rate("n_phone") & ~rate("n_float"), "phone").when(name.contains("name"), "name").when(F.col("n_unique") <= F.greatest(F.lit(50.0), 0.05 * n), "category").when((F.col("n_float") == n) & (n > 0), "numeric").otherwise("text")
-    return shapes(df).select("column", kind.alias("semantic"))
+    known = F.create_map(*(F.lit(x) for kv in SEMANTICS.items() for x in kv))[F.col("column")]
+    kind = F.when(known.isNotNull(), known).when((t == "date") | name.rlike("date|time"), "datetime").when(t == "boolean", "boolean_flag")
+    kind = kind.when((F.col("n_email") == n) & (n > 0), "email").when(rate("n_url"), "url").when(rate("n_phone"), "phone")
+    kind = kind.when(name.rlike("price|amount|cost|total"), "price/amount").when(name.rlike("qty|quantity|count"), "quantity").when(name.rlike("(^|_)(id|no|code|key)$|^sku$"), "id/code").when(name.contains("name"), "name")
+    kind = kind.when((t == "string") & (F.col("n_unique") <= F.greatest(F.lit(50.0), 0.05 * F.col("n_rows"))), "category").when(t.isin("int", "float"), "numeric_measure").otherwise("text")
+    return s.select("column", kind.alias("semantic"))
+
+
+def _follows(dtype: Column, v: Column) -> Column:
+    p = _predicates(v)
+    return F.when(dtype == "int", p["n_int"]).when(dtype == "float", p["n_float"]).when(dtype == "date", p["n_date"]).when(dtype == "boolean", p["n_bool"]).otherwise(F.lit(True))
+
+
+def first_values(values: DataFrame, k: int) -> DataFrame:
+    """(column, examples): the k least of each column's distinct values, as text."""
+    w = W.partitionBy("column").orderBy("value")
+    some = values.select("column", "value").distinct().withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k)
+    return some.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("examples"))
 
 
 def dtype_consistency(df: DataFrame) -> DataFrame:
-    """How many non-null values follow the type that its column is inferred to have."""
-    s = shapes(df).join(infer_dtype(df), "column")
+    """How many non-null values follow the type that their column is inferred to have."""
+    s = shapes(df).withColumn("dtype", _dtype(df))
     good = F.expr("case dtype when 'int' then n_int when 'float' then n_float when 'date' then n_date when 'boolean' then n_bool else n end")
     return s.select("column", "dtype", good.alias("n_consistent"), (F.col("n") - good).alias("n_inconsistent"), F.round(F.coalesce(F.try_divide(good.cast("double"), F.col("n").cast("double")), F.lit(1.0)), 4).alias("rate"))
 
 
+def inconsistent_examples(df: DataFrame, k: int = 5) -> DataFrame:
+    """(column, examples): values that don't follow their column's type."""
+    kinds = infer_dtype(df)  # a row for each column
+    return first_values(distinct_values(df).join(kinds, "column").filter(~_follows(F.col("dtype"), F.col("value"))), k)
+
+
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each measure. Exact quantiles, adjusted skewness and kurtosis."""
     own = df.select(*(num(c).alias(c) for c in columns))
@@ -150,15 +202,74 @@ def histogram(df: DataFrame, column: str, bins: int = 60, cap: float = 0.995) ->
 
 
 def sample_rows(df: DataFrame, n: int = 1_000, seed: int = 42, key: str = "row_id") -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """The n rows first in an order by arithmetic on a whole-number key: the same rows for one seed, whatever the partitions."""
+    return df.orderBy(F.pmod(F.col(key) * 1103515245 + seed * 12345, F.lit(2147483648)), key).limit(n)
+
+
+def missing_heatmap(df: DataFrame, n: int = 1_000, key: str = "row_id") -> DataFrame:
+    """(key, a 0/1 column for each column): which cells of a sample of rows are missing."""
+    return sample_rows(df, n, key=key).select(key, *(F.col(f"`{c}`").isNull().cast("int").alias(c) for c in df.columns if c != key)).orderBy(key)
+
+
+# Flags of the measures and invoices, their severities and columns.
+NUMERIC_FLAGS = [
+    ("negative-quantity", "info", "Quantity"), ("bulk-quantity", "info", "Quantity"), ("zero-quantity", "warning", "Quantity"), ("negative-price", "critical", "UnitPrice"),
+    ("zero-price", "warning", "UnitPrice"), ("extreme-price", "info", "UnitPrice"), ("cancelled-invoices", "info", "InvoiceNo"),
+]
+SEVERITY = {"missing-critical": "critical", "missing-high": "warning", "empty-column": "critical", "constant-column": "warning", "date-out-of-range": "warning", "mixed-type": "warning", "dtype-mismatch": "warning", "date-as-text": "warning", "padded-text": "warning", "case-variants": "info", "pii-direct": "warning", "pii-quasi": "info"}
 
 
 def flags_numeric(df: DataFrame) -> DataFrame:
     """(flag, severity, n) of the measures' and invoices' flags that are raised."""
     q, p = num("Quantity"), num("UnitPrice")
-    rules = [("negative-quantity", "info", q < 0), ("bulk-quantity", "info", F.abs(q) > 1000), ("zero-quantity", "warning", q == 0), ("negative-price", "critical", p < 0), ("zero-price", "warning", p == 0), ("extreme-price", "info", p > 1000), ("cancelled-invoices", "info", F.col("InvoiceNo").rlike(PATTERNS["cancelled"]))]
-    one = df.agg(*(F.count_if(c).alias(n) for n, _, c in rules))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("flag"), F.lit(s).alias("severity"), F.col(n).alias("n")) for n, s, _ in rules))).alias("x")).select("x.*").filter("n > 0")
+    judged = [q < 0, F.abs(q) > 1000, q == 0, p < 0, p == 0, p > 1000, F.col("InvoiceNo").rlike(r"^C\d+$")]
+    one = df.agg(*(F.count_if(c).alias(n) for (n, _, _), c in zip(NUMERIC_FLAGS, judged, strict=True)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("flag"), F.lit(s).alias("severity"), F.col(n).alias("n")) for n, s, _ in NUMERIC_FLAGS))).alias("x")).select("x.*").filter("n > 0")
+
+
+def date_flags(df: DataFrame, window: tuple[str, str] = ("2009-01-01", "2011-12-31"), column: str = "InvoiceDate") -> DataFrame:
+    """(flag, column, n): dates outside the window, whose end is its last day's midnight."""
+    outside = ~parse_date(column).between(*(F.lit(x).cast("timestamp_ntz") for x in window))
+    return df.agg(F.count_if(outside).alias("n")).filter("n > 0").select(F.lit("date-out-of-range").alias("flag"), F.lit(column).alias("column"), "n")
+
+
+def flags(df: DataFrame, window: tuple[str, str] = ("2009-01-01", "2011-12-31")) -> DataFrame:
+    """(flag, category, severity, column, n, examples): all flags that a table raises. Examples are the least values; n is
+    rows, for case-variants groups, and for names that hint at persons null."""
+    text = [c for c, k in df.dtypes if k == "string"]
+    none = F.lit(None).cast("string").alias("examples")
+    cols = ["flag", "column", "n", "examples"]
+    missing = missing_flags(df).join(missing_per_column(df).select("column", F.col("n_missing").alias("n")), "column").select("flag", "column", "n", none)
+    at = F.create_map(*(F.lit(x) for n, _, c in NUMERIC_FLAGS for x in (n, c)))[F.col("flag")]
+    parts = [missing]
+    if {"Quantity", "UnitPrice", "InvoiceNo"} <= set(df.columns):
+        parts.append(flags_numeric(df).select("flag", at.alias("column"), "n", none))
+    if "InvoiceDate" in df.columns:
+        parts.append(date_flags(df, window).select("flag", "column", "n", none))
+    values = distinct_values(df)
+    numeric = strip(F.col("value")).rlike(PATTERNS["float"]) | (strip(F.col("value")) == "")
+    mixed = mixed_type(df).filter("is_mixed").select("column", F.col("n_text").alias("n"))
+    parts.append(mixed.join(first_values(values.filter(~numeric), 5), "column", "left").select(F.lit("mixed-type").alias("flag"), "column", "n", "examples"))
+    wrong = dtype_consistency(df).filter("n_inconsistent > 0")
+    shown = wrong.join(inconsistent_examples(df), "column", "left")
+    parts.append(shown.select(F.lit("dtype-mismatch").alias("flag"), "column", F.col("n_inconsistent").alias("n"), "examples"))
+    parts.append(shown.filter((F.col("dtype") == "date") & F.col("column").isin(text)).select(F.lit("date-as-text").alias("flag"), "column", F.col("n_inconsistent").alias("n"), "examples"))
+    if text:
+        own = values.filter(F.col("column").isin(text))
+        padded = own.filter(F.col("value") != strip(F.col("value")))
+        parts.append(padded_text(df, text).filter("n_padded > 0").join(first_values(padded, 3), "column").select(F.lit("padded-text").alias("flag"), "column", F.col("n_padded").alias("n"), "examples"))
+        groups = own.groupBy("column", F.lower(strip(F.col("value"))).alias("value")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        parts.append(case_variants(df, text).filter("n_groups > 0").join(first_values(groups, 3), "column").select(F.lit("case-variants").alias("flag"), "column", F.col("n_groups").alias("n"), "examples"))
+    parts.append(pii_columns(df).select(F.concat(F.lit("pii-"), "kind").alias("flag"), "column", F.lit(None).cast("long").alias("n"), F.col("pattern").alias("examples")))
+    every = reduce(DataFrame.unionByName, (p.select(*cols) for p in parts))
+    severity = F.create_map(*(F.lit(x) for kv in ({n: s for n, s, _ in NUMERIC_FLAGS} | SEVERITY).items() for x in kv))[F.col("flag")]
+    category = F.when(F.col("flag").startswith("pii-"), "pii").when(F.col("flag").isin("mixed-type", "dtype-mismatch", "date-as-text", "padded-text", "case-variants"), "format").otherwise("suspicious")
+    return every.select("flag", category.alias("category"), severity.alias("severity"), "column", "n", "examples")
+
+
+def flag_summary(flagged: DataFrame) -> DataFrame:
+    """One row: flags, and how many of each severity."""
+    return flagged.agg(F.count(F.lit(1)).alias("n_flags"), *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "warning", "info")))
 
 
 def missing_flags(df: DataFrame) -> DataFrame:

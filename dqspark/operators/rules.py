@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import Contract, num, strip, yes
+from ..functions.expr import Contract, num, parse_date, strip, yes
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,7 @@ def _outside(x: Column, low: float, high: float) -> Column:
 
 
 def _date(c: Contract) -> Column:
-    d = F.try_to_timestamp(F.col("InvoiceDate").cast("string"))
-    return F.coalesce(~d.between(F.lit(c.window[0]).cast("timestamp"), F.lit(c.window[1]).cast("timestamp")), F.lit(True))
+    return F.coalesce(~parse_date("InvoiceDate").between(*(F.lit(x).cast("timestamp_ntz") for x in c.window)), F.lit(True))
 
 
 def _customer(c: Contract) -> Column:

@@ -84,8 +84,7 @@ query("rule_by_severity", RULES + " SELECT severity, CAST(sum(n_violations) AS B
 query("rule_rollup", RULES + " SELECT category, severity, CAST(sum(n_violations) AS BIGINT) AS n_violations, count(*) AS n_rules FROM counted GROUP BY GROUPING SETS ((category), (severity), ())")(lambda r: rules.rollup(r, C))
 query("rule_findings", RULES + " SELECT rule_id, CASE severity WHEN 'hard' THEN 'impossible' ELSE 'suspicious' END AS error_type, CASE severity WHEN 'hard' THEN 'critical' WHEN 'review' THEN 'high' ELSE 'medium' END AS level, n_violations FROM counted WHERE n_violations > 0")(lambda r: rules.findings(r, C))
 query("severity_rows", SEVERITY + " SELECT * FROM sev")(lambda r: rules.rows_by_severity(r, C))
-query("health_score", SEVERITY + " SELECT n_rows, least(100, round(100 * (n_hard + 0.3 * n_review + 0.1 * n_info) / n_rows, 2))::DOUBLE AS error_severity, round(100.0::DOUBLE * (n_rows - n_hard) / n_rows, 2) AS validity, round(100.0::DOUBLE * (n_rows - n_review) / n_rows, 2) AS consistency FROM sev")(lambda r: rules.rows_by_severity(r, C).select("n_rows", rules.error_severity().alias("error_severity"), *(F.round(100.0 * (F.col("n_rows") - F.col(n)) / F.col("n_rows"), 2).alias(c) for n, c in (("n_hard", "validity"), ("n_review", "consistency")))))
-query("row_snapshot")(lambda r: r.select("row_id", rules.snapshot().alias("snapshot")))
+query("row_snapshot", "SELECT row_id, CAST(json_object('InvoiceNo', InvoiceNo, 'StockCode', StockCode, 'Description', Description, 'Quantity', Quantity, 'InvoiceDate', strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S'), 'UnitPrice', UnitPrice, 'CustomerID', CustomerID, 'Country', Country) AS VARCHAR) AS snapshot FROM retail")(lambda r: r.select("row_id", rules.snapshot().alias("snapshot")))
 
 # --- projections
 query("normalize_text", NORMAL + " SELECT row_id, StockCode, Description, Country FROM normal")(lambda r: cleaning.normalise(r).select("row_id", "StockCode", "Description", "Country"))
@@ -98,7 +97,7 @@ query("line_flags", "SELECT row_id, starts_with(InvoiceNo, 'C') AS is_cancellati
 query("country_unknown", f"SELECT row_id, Country FROM retail WHERE Country NOT IN ({quoted(COUNTRIES)})")(lambda r: r.filter(~F.col("Country").isin(COUNTRIES)).select("row_id", "Country"))
 query("canon_render", f"SELECT row_id, {RENDER['Quantity']} AS quantity, {RENDER['UnitPrice']} AS price FROM retail")(lambda r: r.select("row_id", integral(F.col("Quantity")).alias("quantity"), integral(F.col("UnitPrice")).alias("price")))
 query("header_alias", "SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate, UnitPrice, CustomerID, Country, row_id FROM retail")(lambda r: alias_headers(r.withColumnsRenamed({"InvoiceNo": "Invoice", "Quantity": " qty", "UnitPrice": "Price", "CustomerID": "Customer ID", "StockCode": "stock_code"})))
-query("scan_union_limit")(lambda r: union_limit([r.filter("row_id < 100000000"), r.filter("row_id >= 100000000")], ["row_id"], 5_000).select("_sheet", "row_id"))
+query("scan_union_limit", "SELECT * FROM (SELECT 0 AS _sheet, row_id FROM retail WHERE row_id < 100000000 ORDER BY row_id LIMIT 5000) UNION ALL SELECT * FROM (SELECT 1, row_id FROM retail WHERE row_id >= 100000000 ORDER BY row_id LIMIT 5000)")(lambda r: union_limit([r.filter("row_id < 100000000"), r.filter("row_id >= 100000000")], ["row_id"], 5_000).select("_sheet", "row_id"))
 
 # --- profiling
 query("missing_per_column", TALL + ' SELECT "column", count(*) FILTER (WHERE value IS NULL) AS n_missing, round(100.0 * count(*) FILTER (WHERE value IS NULL) / count(*), 2)::DOUBLE AS missing_pct FROM tall GROUP BY 1')(lambda r: profile.missing_per_column(r.drop("row_id")))
@@ -110,12 +109,11 @@ query("column_profile", TALL + ' SELECT t."column", count(*) AS n_rows, count(*)
 query("infer_dtype", SHAPES + ' SELECT "column", dtype FROM typed')(lambda r: profile.infer_dtype(r.drop("row_id")))
 query("mixed_type", SHAPES + ', s AS (SELECT *, n - n_blank - n_float AS n_text, coalesce(n_float::DOUBLE / nullif(n - n_blank, 0), 0) AS r FROM shapes) SELECT "column", n_float AS n_numeric, n_text, round(r, 4) AS numeric_ratio, n_suffix, n_cancelled, (least(n_float, n_text) >= 5 AND least(n_float, n_text) >= 0.005 * (n - n_blank)) OR (n_suffix >= 5 AND r > 0.5) AS is_mixed FROM s')(lambda r: profile.mixed_type(r.drop("row_id")))
 query("dtype_consistency", SHAPES + ", g AS (SELECT *, CASE dtype WHEN 'int' THEN n_int WHEN 'float' THEN n_float WHEN 'date' THEN n_date WHEN 'boolean' THEN n_bool ELSE n END AS good FROM typed) SELECT \"column\", dtype, good AS n_consistent, n - good AS n_inconsistent, round(coalesce(good::DOUBLE / nullif(n, 0), 1), 4) AS rate FROM g")(lambda r: profile.dtype_consistency(r.drop("row_id")))
-query("infer_semantic", SHAPES + " SELECT \"column\", CASE WHEN lower(\"column\") LIKE '%date%' OR lower(\"column\") LIKE '%time%' THEN 'datetime' WHEN n_bool = n AND n_unique <= 2 AND n > 0 THEN 'boolean' WHEN lower(\"column\") LIKE '%price%' THEN 'price' WHEN lower(\"column\") LIKE '%quantity%' THEN 'quantity' WHEN regexp_matches(lower(\"column\"), '(^|_)id$|key$|no$|code$') THEN 'identifier' WHEN contains(lower(\"column\"), 'name') THEN 'name' WHEN n_unique <= greatest(50.0, 0.05 * n) THEN 'category' WHEN n_float = n AND n > 0 THEN 'numeric' ELSE 'text' END AS semantic FROM shapes")(lambda r: profile.infer_semantic(r.drop("row_id")))
 query("numeric_summary", ", t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS x FROM retail" for c in MEASURES) + ') SELECT "column", count(x) AS n, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_samp(x), 4) AS std, min(x) AS min, max(x) AS max, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.75), 4) AS q3, count(*) FILTER (WHERE x < 0) AS n_negative, count(*) FILTER (WHERE x = 0) AS n_zero, round(skewness(x), 4) AS skew, round(kurtosis(x), 4) AS kurtosis FROM t GROUP BY 1')(lambda r: profile.numeric_summary(r, MEASURES))
 query("iqr_outliers", ", t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS x FROM retail" for c in MEASURES) + '), f AS (SELECT "column", quantile_cont(x, 0.25) - 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) AS low, quantile_cont(x, 0.75) + 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) AS high FROM t GROUP BY 1) SELECT "column", low, high, count(*) FILTER (WHERE x < low OR x > high) AS n_outliers, round(100.0 * count(*) FILTER (WHERE x < low OR x > high) / count(x), 4)::DOUBLE AS outlier_pct FROM t JOIN f USING ("column") GROUP BY ALL')(lambda r: profile.iqr_outliers(r, MEASURES))
 query("corr_long", "SELECT 'Quantity' AS a, 'Quantity' AS b, round(corr(Quantity, Quantity), 4) AS r FROM retail UNION ALL SELECT 'Quantity', 'UnitPrice', round(corr(Quantity, UnitPrice), 4) FROM retail UNION ALL SELECT 'UnitPrice', 'UnitPrice', round(corr(UnitPrice, UnitPrice), 4) FROM retail")(lambda r: profile.corr_long(r, MEASURES))
 query("hist_capped", ", e AS (SELECT min(Quantity) AS lo, quantile_cont(Quantity, 0.995) AS hi FROM retail) SELECT CAST(least(59, floor((least(Quantity, hi) - lo) / ((hi - lo) / 60))) AS INT) AS bin, count(*) AS n FROM retail, e GROUP BY 1")(lambda r: profile.histogram(r, "Quantity"))
-query("sample_rows")(lambda r: profile.sample_rows(r).select("row_id"))
+query("sample_rows", "SELECT row_id FROM retail ORDER BY (row_id * 1103515245 + 42 * 12345) % 2147483648, row_id LIMIT 1000")(lambda r: profile.sample_rows(r).select("row_id"))
 query("flags_numeric", ", f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS flag, '{s}' AS severity, count(*) FILTER (WHERE {p}) AS n FROM retail" for n, s, p in [("negative-quantity", "info", "Quantity < 0"), ("bulk-quantity", "info", "abs(Quantity) > 1000"), ("zero-quantity", "warning", "Quantity = 0"), ("negative-price", "critical", "UnitPrice < 0"), ("zero-price", "warning", "UnitPrice = 0"), ("extreme-price", "info", "UnitPrice > 1000"), ("cancelled-invoices", "info", "regexp_matches(InvoiceNo, '(?i)^C\\d+$')")]) + ") SELECT * FROM f WHERE n > 0")(profile.flags_numeric)
 query("flags_missing", TALL + ", s AS (SELECT \"column\", round(100.0 * count(*) FILTER (WHERE value IS NULL) / count(*), 2)::DOUBLE AS missing_pct, count(DISTINCT value) AS u FROM tall GROUP BY 1) SELECT \"column\", unnest(CASE WHEN u = 0 THEN ['missing-critical', 'empty-column'] ELSE list_filter([CASE WHEN missing_pct >= 95 THEN 'missing-critical' WHEN missing_pct >= 20 THEN 'missing-high' END, CASE WHEN u = 1 THEN 'constant-column' END], lambda x: x IS NOT NULL) END) AS flag, missing_pct FROM s")(lambda r: profile.missing_flags(r.drop("row_id")))
 query("case_variants", TALL + ", g AS (SELECT \"column\", lower(trim(value)) AS g, count(*) AS m FROM uniq WHERE \"column\" IN ('StockCode', 'Description', 'Country') GROUP BY 1, 2) SELECT \"column\", count(*) FILTER (WHERE m > 1) AS n_groups FROM g GROUP BY 1")(lambda r: profile.case_variants(r, ["StockCode", "Description", "Country"]))
@@ -130,14 +128,6 @@ query("measure_tiers", f"SELECT 'Quantity' AS \"column\", {TIER.format(-9.5, 18.
 query("key_candidates", "SELECT 'row_id' AS candidate, count(DISTINCT row_id) AS n_distinct, count(DISTINCT row_id) = count(*) AS is_key FROM retail UNION ALL SELECT 'line', (SELECT count(*) FROM (SELECT DISTINCT InvoiceNo, StockCode, InvoiceDate FROM retail)), (SELECT count(*) FROM (SELECT DISTINCT InvoiceNo, StockCode, InvoiceDate FROM retail)) = count(*) FROM retail")(lambda r: contract.key_candidates(r, {"row_id": ["row_id"], "line": rules.KEY}))
 query("row_validity", " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER (WHERE {p}) AS n, round(100.0 * count(*) FILTER (WHERE {p}) / count(*), 4)::DOUBLE AS pct FROM retail" for k, p in [("giveaway", "UnitPrice = 0"), ("return", "Quantity < 0"), ("cancellation", "starts_with(InvoiceNo, 'C')"), ("guest", "CustomerID IS NULL"), ("no_description", "Description IS NULL")]))(contract.row_validity)
 query("validity_mask", f"SELECT row_id, {VALID} AS is_valid FROM retail")(lambda r: contract.validity_mask(r, C))
-CONSTRAINTS = {
-    "InvoiceNo.pattern": PRED["invoiceno_format"], "InvoiceNo.case": "InvoiceNo <> upper(InvoiceNo)", "StockCode.pattern": PRED["stockcode_format"], "StockCode.case": "StockCode <> upper(StockCode)", "StockCode.trim": "StockCode <> trim(StockCode)", "CustomerID.integer": "CustomerID % 1 <> 0", "CustomerID.block": PRED["customerid_out_of_block"],
-    "Quantity.dtype": "Quantity IS NULL", "Quantity.bounds": PRED["quantity_out_of_bounds"], "Quantity.integer": "Quantity % 1 <> 0", "Quantity.no_zero": "Quantity = 0", "Quantity.sign": "Quantity < 0", "Quantity.bulk": "abs(Quantity) > 1000", "UnitPrice.dtype": "UnitPrice IS NULL", "UnitPrice.bounds": "UnitPrice > 20000", "UnitPrice.non_negative": "UnitPrice < 0", "UnitPrice.zero": "UnitPrice = 0", "UnitPrice.currency": "round_even(UnitPrice, 2) <> UnitPrice", "UnitPrice.extreme": "UnitPrice > 1000",
-    "InvoiceDate.format": "InvoiceDate IS NULL", "InvoiceDate.window": "NOT InvoiceDate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2001-06-30 23:59:59'", "Description.trim": "Description <> trim(Description)", "Description.spacing": "regexp_matches(Description, '\\s{2,}')", "Description.case": "Description <> upper(Description)", "Description.nonempty": "trim(Description) = ''", "Description.length": "length(Description) > 128", "Description.null": "Description IS NULL", "Country.null": "Country IS NULL", "Country.trim": "Country <> trim(Country)", "Country.known": PRED["country_unknown"],
-}
-INFO, REVIEW = ["Quantity.sign"], ["InvoiceNo.case", "StockCode.case", "StockCode.trim", "Quantity.bulk", "UnitPrice.zero", "UnitPrice.extreme", "Description.trim", "Description.spacing", "Description.case", "Description.length", "Description.null", "Country.trim"]
-SEVERITIES = {k: "info" if k in INFO else "review" if k in REVIEW else "hard" for k in CONSTRAINTS}
-query("constraint_violations", " UNION ALL ".join(f"SELECT '{k}' AS \"constraint\", '{SEVERITIES[k]}' AS severity, count(*) FILTER (WHERE {p}) AS n_violations FROM retail" for k, p in CONSTRAINTS.items()))(lambda r: contract.constraint_violations(r, C))
 
 # --- cleaning
 query("description_lookup", NORMAL + LOOKUP + ' SELECT StockCode, d AS "LookupDescription" FROM lookup')(lambda r: cleaning.description_lookup(cleaning.normalise(r)))
@@ -151,8 +141,18 @@ query("near_dup_levenshtein", NORMAL + ", d AS (SELECT DISTINCT StockCode, Descr
 query("near_dup_groups")(lambda r: cleaning.near_groups(cleaning.normalise(r), 0.6))
 query("defect_sample", ", t AS (SELECT row_id, unnest(CASE WHEN len(r) > 0 THEN r ELSE ['clean'] END) AS role FROM (SELECT row_id, list_filter([CASE WHEN Description IS NULL THEN 'null_description' END, CASE WHEN upper(trim(Country)) IN ('EIRE', 'UK', 'USA') THEN 'alias' END, CASE WHEN Description <> trim(Description) THEN 'padded' END, CASE WHEN StockCode <> upper(StockCode) THEN 'lower_code' END, CASE WHEN CustomerID IS NULL THEN 'guest' END, CASE WHEN Quantity = 0 THEN 'zero_quantity' END], lambda x: x IS NOT NULL) AS r FROM retail)) SELECT role, min(row_id) AS row_id FROM t GROUP BY 1")(cleaning.defect_sample)
 query("cleaning_diff", NORMAL + FILLED + FIRSTS + f", o AS (SELECT r.row_id, CustomerID IS NULL AS guest, list_filter([CASE WHEN StockCode <> {squeezed('StockCode')} THEN 'normalised:StockCode' END, CASE WHEN Description <> {squeezed('Description')} THEN 'normalised:Description' END, CASE WHEN Country <> {resolved('Country')} THEN 'normalised:Country' END, CASE WHEN Description IS NULL THEN 'imputed:Description' END], lambda x: x IS NOT NULL) AS ops FROM retail r) SELECT row_id, CASE WHEN row_id NOT IN (SELECT row_id FROM firsts) THEN 'removed' WHEN list_contains(ops, 'imputed:Description') THEN 'imputed' WHEN len(ops) > 0 THEN 'normalised' WHEN guest THEN 'preserved' ELSE 'unchanged' END AS status, array_to_string(ops, ',') AS operations FROM o")(cleaning.diff)
-query("knn_impute")(lambda r: anomaly.knn_impute(r.withColumn("UnitPrice", F.when(F.col("row_id") % 20 != 0, F.col("UnitPrice")))).select("row_id", "Quantity", "UnitPrice"))
-query("knn_verify")(anomaly.knn_verify)
+
+
+def fills(known: str, wanted: str, t: str) -> str:
+    """SQL of the fills of one measure out of g: donors of the same value, or else the five nearest rows."""
+    return f""", don{t} AS (SELECT {known} AS v, count(*) AS n, sum({wanted}) AS s FROM g WHERE {known} IS NOT NULL AND {wanted} IS NOT NULL GROUP BY 1), ask{t} AS (SELECT DISTINCT {known} AS v FROM g WHERE {known} IS NOT NULL AND {wanted} IS NULL),
+ dis{t} AS (SELECT a.v, abs(d.v - a.v) AS d, n, s, sum(n) OVER (PARTITION BY a.v ORDER BY abs(d.v - a.v) RANGE UNBOUNDED PRECEDING) AS cum FROM ask{t} a, don{t} d WHERE a.v NOT IN (SELECT v FROM don{t})), rea{t} AS (SELECT v, coalesce(min(d) FILTER (WHERE cum >= 5), max(d)) AS reach FROM dis{t} GROUP BY 1),
+ fill{t} AS (SELECT a.v, s / n AS fill FROM ask{t} a JOIN don{t} d ON a.v = d.v UNION ALL SELECT v, sum(s / d) / sum(n / d) FROM dis{t} JOIN rea{t} USING (v) WHERE d <= reach GROUP BY 1)"""
+
+
+query("knn_impute", ", g AS (SELECT row_id, Quantity, CASE WHEN row_id % 20 <> 0 THEN UnitPrice END AS UnitPrice FROM retail)" + fills("Quantity", "UnitPrice", "p") + " SELECT row_id, Quantity, round(coalesce(UnitPrice, fill), 6) AS UnitPrice FROM g LEFT JOIN fillp ON Quantity = v")(lambda r: anomaly.knn_impute(r.withColumn("UnitPrice", F.when(F.col("row_id") % 20 != 0, F.col("UnitPrice")))).select("row_id", "Quantity", F.round("UnitPrice", 6).alias("UnitPrice")))
+HIDDEN = "(row_id * 1103515245 + {0}) % 2147483648 % 20 = 0"
+query("knn_verify", f", m AS (SELECT *, {HIDDEN.format(12345)} AS hq, {HIDDEN.format(54321)} AS hp FROM retail), g AS (SELECT row_id, hq, hp, Quantity AS tq, UnitPrice AS tp, CASE WHEN NOT hq THEN Quantity END AS Quantity, CASE WHEN NOT hp THEN UnitPrice END AS UnitPrice FROM m)" + fills("Quantity", "UnitPrice", "p") + fills("UnitPrice", "Quantity", "q") + ", med AS (SELECT median(Quantity) AS mq, median(UnitPrice) AS mp FROM g), filled AS (SELECT g.*, coalesce(Quantity, round(q.fill), mq) AS fq, coalesce(UnitPrice, p.fill, mp) AS fp FROM g LEFT JOIN fillp p ON Quantity = p.v LEFT JOIN fillq q ON UnitPrice = q.v, med), e AS (SELECT abs(fq - tq) AS e FROM filled WHERE hq UNION ALL SELECT abs(fp - tp) FROM filled WHERE hp) SELECT count(*) AS n_masked, round(avg(e), 4) AS mae, round(avg(CASE WHEN e < 0.005 THEN 1.0::DOUBLE ELSE 0 END), 4) AS exact_match FROM e")(anomaly.knn_verify)
 
 # --- features and scores
 query("extract_features", "SELECT row_id, round_even(Quantity * UnitPrice, 2) + 0.0 AS LineValue, starts_with(InvoiceNo, 'C') AS IsCancellation, Quantity < 0 AS IsReturn, UnitPrice = 0 AS IsGiveaway, CAST(isodow(InvoiceDate) - 1 AS INT) AS InvoiceWeekday, CAST(quarter(InvoiceDate) AS INT) AS InvoiceQuarter FROM retail")(lambda r: features.extract(r).select("row_id", "LineValue", "IsCancellation", "IsReturn", "IsGiveaway", "InvoiceWeekday", "InvoiceQuarter"))
@@ -170,19 +170,21 @@ query("drift_verdict", DRIFT_M + DRIFT_S + ", b AS (SELECT band, rel_change FROM
 query("year_counts", "SELECT CAST(year(InvoiceDate) AS INT) AS year, count(*) AS n_rows FROM retail GROUP BY 1")(drift.years)
 
 # --- outliers and evaluation
-POINTS = "SELECT p_size::DOUBLE AS x, floor(p_retailprice / 10)::DOUBLE AS y FROM part GROUP BY ALL"
+POINTS = "SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part GROUP BY ALL"
 LOF = f"WITH p AS ({POINTS}), d AS (SELECT a.x, a.y, b.x AS bx, b.y AS by_, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.x, a.y ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.x, b.y) AS r FROM p a JOIN p b ON a.x <> b.x OR a.y <> b.y), n AS (SELECT * FROM d WHERE r <= 20), k AS (SELECT x, y, max(d) AS kd FROM n GROUP BY 1, 2), l AS (SELECT n.x, n.y, 1 / greatest(1e-10, avg(greatest(n.d, k.kd))) AS lrd FROM n JOIN k ON n.bx = k.x AND n.by_ = k.y GROUP BY 1, 2), s AS (SELECT n.x, n.y, avg(b.lrd) / any_value(a.lrd) AS lof FROM n JOIN l b ON n.bx = b.x AND n.by_ = b.y JOIN l a ON n.x = a.x AND n.y = a.y GROUP BY 1, 2)"
 
 
 def part_points(df: DataFrame) -> DataFrame:
-    return df.select(F.col("p_size").cast("double").alias("x"), F.floor(F.col("p_retailprice") / 10).cast("double").alias("y"))
+    return df.select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
 
 
 query("lof_scores", LOF + " SELECT x, y, round(lof, 6) AS lof FROM s", on="part")(lambda p: anomaly.lof(part_points(p), ["x", "y"]).select("x", "y", F.round("lof", 6).alias("lof")))
 query("lof_flags", LOF + ", c AS (SELECT quantile_cont(lof, 0.99) AS cut FROM s) SELECT count(*) AS n_points, count(*) FILTER (WHERE round(lof, 9) > round(cut, 9)) AS n_flagged FROM s, c", on="part")(lambda p: anomaly.flag_top(anomaly.lof(part_points(p), ["x", "y"]), "lof").agg(F.count(F.lit(1)).alias("n_points"), F.count_if("is_outlier").alias("n_flagged")))
-query("isolation_forest")(lambda r: anomaly.isolation_forest(r, MEASURES, trees=100).select("Quantity", "UnitPrice", "n", F.round("score", 6).alias("score")))
-query("anomaly_severity")(lambda r: anomaly.severity(r, MEASURES, trees=100))
-query("evaluate_models")(lambda r: anomaly.evaluate(r, MEASURES, trees=100))
+query("isolation_forest")(lambda r: anomaly.isolation_forest(r, MEASURES).select("Quantity", "UnitPrice", "n", F.round("score", 6).alias("score")))
+query("anomaly_severity")(lambda r: anomaly.severity(r, MEASURES))
+query("evaluate_models")(lambda r: anomaly.evaluate(r, MEASURES))
+query("recall_by_model")(lambda r: anomaly.recall_by_model(r, MEASURES))
+query("lof_retail")(lambda r: anomaly.lof(r, MEASURES).select(*MEASURES, "n", F.round("lof", 6).alias("lof")))
 RANKED = "WITH t AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part)"
 AVG_RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE) / count(*) OVER ()"
 query("combined_rank", RANKED + f" SELECT p_partkey, round(({AVG_RANK.format('a')} + {AVG_RANK.format('b')}) / 2, 6) AS combined FROM t", on="part")(lambda p: anomaly.combined_rank(p.select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), "a", "b").select("p_partkey", F.round("combined", 6).alias("combined")))
@@ -206,57 +208,19 @@ SQL["precision_at_k"] = LABELLED + ", k AS (SELECT count(*) AS k FROM j WHERE qu
 Q["recall_by_type"] = labelled(lambda j: anomaly.recall_by_type(j.filter("quality = 1"), "source", "p"))
 SQL["recall_by_type"] = LABELLED.replace("n_chars, CASE", "n_chars, source, CASE") + " SELECT source AS anomaly_type, count(*) AS n, round(avg(p), 4) AS recall FROM j WHERE quality = 1 GROUP BY 1"
 
-# --- columns and terms
-COUNTRY_UP = quoted([c.upper() for c in (*COUNTRIES, "EIRE", "USA", "UK")])
-
-
-def rate(p: str) -> str:
-    return f"round(coalesce(avg(CASE WHEN value IS NOT NULL THEN CAST({p} AS DOUBLE) END), 0), 6)"
-
-
-def hit(k: str) -> str:
-    return f"regexp_matches(t, '{A.get(k, k)}')"
-
-
-NUM = f"CASE WHEN {hit('float')} THEN CAST(t AS DOUBLE) END"
-SIGNALS = TALL + f""", e AS (SELECT "column", value, trim(value) AS t FROM tall), sig AS (SELECT "column", count(*) AS n, round(avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_rate, {rate("len(regexp_split_to_array(t, '\\s+'))")} AS avg_tokens, {rate("length(regexp_replace(t, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(length(t), 1)")} AS alpha_ratio,
- {rate(hit("float"))} AS numeric_rate, {rate(hit("int"))} AS int_rate, CAST(coalesce(max(CASE WHEN ({NUM}) < 0 THEN 1 ELSE 0 END), 0) AS INT) AS has_negative, CAST(coalesce(max(CASE WHEN ({NUM}) % 1 <> 0 THEN 1 ELSE 0 END), 0) AS INT) AS has_decimals, {rate(hit("^\\d{4}-\\d{2}-\\d{2}"))} AS datetime_rate,
- {rate(hit("email"))} AS email_rate, {rate(hit("url"))} AS url_rate, {rate(hit("phone") + " AND NOT " + hit("float") + " AND NOT " + hit("^\\d{4}-\\d{2}-\\d{2}"))} AS phone_rate, {rate("lower(t) IN ('true', 'false')")} AS bool_rate, {rate(hit("invoice"))} AS invoice_rate, {rate(hit("cancelled"))} AS cancelled_rate, {rate(hit("^\\d{5}[A-Za-z]{0,2}$"))} AS sku_rate, {rate(hit("suffix"))} AS suffix_rate,
- {rate(hit("price"))} AS price_rate, {rate(f"upper(t) IN ({COUNTRY_UP})")} AS country_rate, {rate(hit("^1[2-9]\\d{3}$"))} AS block_rate, count(DISTINCT value) AS n_unique, round(coalesce(count(DISTINCT value)::DOUBLE / nullif(count(value), 0), 0), 6) AS cardinality FROM e GROUP BY 1)"""
-
-
-def cue(k: str) -> str:
-    return f"CASE WHEN regexp_matches(lower(\"column\"), '{'|'.join(classify.CUES[k])}') THEN 1.0::DOUBLE ELSE 0 END"
-
-
-SCORE = {
-    "invoice_id": f"2 * invoice_rate + 0.5::DOUBLE * cancelled_rate + {cue('invoice_id')}", "product_id": f"2 * sku_rate * (CASE WHEN avg_tokens <= 2 THEN 1.0::DOUBLE ELSE greatest(0.2::DOUBLE, 2 / avg_tokens) END) + 0.5::DOUBLE * suffix_rate + {cue('product_id')}",
-    "product_description": f"0.6::DOUBLE * least(n_unique / 1000.0::DOUBLE, 1) + 0.8::DOUBLE * least(avg_tokens / 3, 1) + 0.6::DOUBLE * alpha_ratio + {cue('product_description')}", "quantity": f"1.5::DOUBLE * int_rate + 0.5::DOUBLE * has_negative + 0.5::DOUBLE * (1 - has_decimals) + {cue('quantity')}",
-    "transaction_datetime": f"2 * datetime_rate + {cue('transaction_datetime')}", "unit_price": f"1.5::DOUBLE * price_rate + 0.8::DOUBLE * has_decimals + {cue('unit_price')}", "customer_id": f"2 * block_rate + 0.5::DOUBLE * null_rate + 0.5::DOUBLE * int_rate + {cue('customer_id')}",
-    "country": f"2.5::DOUBLE * country_rate + 0.5::DOUBLE * (1 - least(20 * cardinality, 1)) + {cue('country')}", "email": f"2 * email_rate + {cue('email')}", "phone": f"2 * phone_rate + {cue('phone')}", "url": f"2 * url_rate + {cue('url')}",
-    "boolean_flag": "2.5::DOUBLE * bool_rate", "category": "0.5::DOUBLE * (1 - least(20 * cardinality, 1))", "text": "0.3::DOUBLE * alpha_ratio + 0.2::DOUBLE * least(avg_tokens / 3, 1)",
-}
-SCORES = SIGNALS + ", sc AS (" + " UNION ALL ".join(f"SELECT \"column\", {i} AS i, '{k}' AS semantic, round({SCORE[k]}, 6) AS score FROM sig" for i, k in enumerate(classify.CLASSES)) + ")"
-
-
-def classified(names: dict[str, str]) -> str:
-    want = " ".join(f"WHEN '{c}' THEN '{classify.expected(names.get(c, c))}'" for c in CANONICAL if classify.expected(names.get(c, c)))
-    return SCORES + f", rk AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY score DESC, i) AS r FROM sc), b AS (SELECT \"column\", max(CASE WHEN r = 1 THEN semantic END) AS semantic, max(score) AS score, min(score) AS second FROM rk WHERE r <= 2 GROUP BY 1), w AS (SELECT *, CASE \"column\" {want} END AS want FROM b) SELECT \"column\", CASE WHEN score < 0.3 THEN 'uncertain' ELSE semantic END AS semantic, round(score, 4) AS score, round((score - second) / nullif(score, 0), 3) AS confidence, CASE WHEN want IS NULL THEN 'unmapped' WHEN want = semantic THEN 'match' ELSE 'mismatch' END AS status FROM w"
-
-
-DECOYS = {"Description": "Country", "Quantity": "UnitPrice", "Country": "Email"}
-query("column_signals", SIGNALS + " SELECT * FROM sig")(lambda r: classify.signals(r, CANONICAL))
-query("semantic_scores", SCORES + ' SELECT "column", CAST(i AS INT) AS i, semantic, round(score, 4) AS score FROM sc')(lambda r: classify.scores(classify.signals(r, CANONICAL)).withColumn("score", F.round("score", 4)))
-query("classify_columns", classified({}))(lambda r: classify.classify(r, CANONICAL))
-query("mislabel_demo", classified(DECOYS))(lambda r: classify.classify(r, CANONICAL, DECOYS))
+# --- terms
 TERMS = "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
 query("tfidf_terms", TERMS + ", n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT term, count(*) AS df, ln((1.0::DOUBLE + any_value(n)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf, n GROUP BY 1), x AS (SELECT doc_id, term, df, tf * idf AS x FROM tf JOIN idf USING (term)), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM x GROUP BY 1), m AS (SELECT term, max(df) AS df, sum(x / l) / (SELECT n FROM n) AS m FROM x JOIN l USING (doc_id) GROUP BY 1) SELECT term, df, round(m, 6) AS mean_tfidf FROM m ORDER BY round(m, 9) DESC, term LIMIT 5", on="documents")(lambda d: classify.tfidf_terms(d, "text", "doc_id"))
 query("vocab_size", TERMS + " SELECT count(DISTINCT term) AS vocab_size, CAST(sum(tf) AS BIGINT) AS n_tokens FROM tf", on="documents")(lambda d: classify.vocabulary(d, "text", "doc_id"))
 
 
 def queries() -> dict[str, Query]:
+    from . import schema_queries  # registers its own into the same tables
+
+    assert schema_queries.query is query
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import CANONICAL, HEADER_ALIASES
+from ..functions.expr import CANONICAL, HEADER_ALIASES, parse_date
 
 TYPES = "InvoiceNo string, StockCode string, Description string, Quantity double, InvoiceDate timestamp_ntz, UnitPrice double, CustomerID bigint, Country string"
 
@@ -74,25 +75,46 @@ def union_limit(frames: Iterable[DataFrame], order: list[str], n: int | None = 5
 def with_row_id(df: DataFrame) -> DataFrame:
     """row_id from 0 without gaps in file order, by counts of partitions (no task has all rows)."""
     numbered = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    counts, at, starts = dict(numbered.groupBy("_p").count().collect()), 0, {}  # a row for each task of the scan
+    counts, at, starts = dict(numbered.groupBy("_p").count().collect()), 0, []  # a row for each task of the scan
     for p in sorted(counts):
-        starts[p], at = at, at + counts[p]
-    offsets = F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)) if starts else F.create_map(F.lit(0), F.lit(0))
+        starts.append((p, at))
+        at += counts[p]
+    offsets = df.sparkSession.createDataFrame(starts, "_p int, _at long")
     inside = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn("row_id", (offsets[F.col("_p")] + inside).cast("long")).drop("_p", "_i")
+    return numbered.join(F.broadcast(offsets), "_p").withColumn("row_id", (F.col("_at") + inside).cast("long")).drop("_p", "_i", "_at")
 
 
 def load(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """A line-item table by suffix (parquet, csv, json, orc), headers aliased, in the contract's types."""
     suffix = Path(path.rstrip("/")).suffix.lower()
+    if suffix in (".xlsx", ".xls"):
+        return workbook(spark, path, n)
     readers = {".parquet": lambda: spark.read.parquet(path), ".csv": lambda: spark.read.csv(path, header=True), ".json": lambda: spark.read.json(path), ".orc": lambda: spark.read.orc(path)}
     if suffix not in readers:
         raise ValueError(f"no source for {suffix or 'a path without suffix'}: {path}")
     df = alias_headers(readers[suffix]())
-    if n:
-        df = df.limit(n)
+    if not df.columns or df.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return typed(df.limit(n) if n else df)
+
+
+def workbook(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """All sheets of a workbook, at most n rows of each, stacked. Sheets have a million rows at most; they are read on the
+    driver by pandas, which needs a reader of its own for them (openpyxl)."""
+    import pandas as pd
+
+    try:
+        sheets = pd.read_excel(path, sheet_name=None, dtype=str, nrows=n or None)
+    except ImportError as e:
+        raise ValueError(f"workbooks need openpyxl, which isn't here; save {path} as CSV") from e
+    frames = [alias_headers(spark.createDataFrame(x.astype(object).where(x.notna(), None), ", ".join(f"`{c}` string" for c in x.columns))) for x in sheets.values()]
+    return typed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """The contract's types, and row ids."""
     kinds = dict(x.split(" ", 1) for x in TYPES.split(", "))
-    cast = [F.expr(f"try_cast(`{c}` as {kinds[c]})").alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns]
+    cast = [F.col(f"`{c}`") if c not in kinds else parse_date(c).alias(c) if c == "InvoiceDate" else F.expr(f"try_cast(`{c}` as {kinds[c]})").alias(c) for c in df.columns]
     return with_row_id(df.select(*cast))
 
 
@@ -101,10 +123,43 @@ def save_csv(df: DataFrame, path: str, order: str = "row_id") -> None:
     df.orderBy(order).coalesce(1).write.mode("overwrite").csv(path, header=True, lineSep="\n", timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
 
 
-def save_json(report: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+def _storage(spark: SparkSession, path: str):
+    """The file system of a path, whatever its scheme, and the path in its terms."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def load_json(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _storage(spark, path)
+    return fs.exists(at)
+
+
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    fs, at = _storage(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def save_json(report: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A report, to a local path or, with a session, to any that Spark can write to."""
+    text = json.dumps(report, indent=2, ensure_ascii=False, default=str)
+    if spark is not None:
+        save_text(spark, text, path)
+        return
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(text, encoding="utf-8")
+
+
+def load_json(path: str, required: tuple[str, ...] = (), columns_of: str = "") -> dict:
+    """A report. Keys that must be there, and a list of rows by column that must cover the report's columns, are checked."""
+    report = json.loads(Path(path).read_text(encoding="utf-8"))
+    if absent := [k for k in required if k not in report]:
+        raise ValueError(f"{path} has no {', '.join(absent)}")
+    if columns_of:
+        known = {r["column"] for r in report.get("columns", [])}
+        if absent := sorted(known - {r["column"] for r in report.get(columns_of, [])}):
+            raise ValueError(f"{path}: {columns_of} lacks {', '.join(absent)}")
+    return report
