@@ -10,9 +10,9 @@ labelled text has weigh nothing and are swapped in too, as is a word that names
 occur isn't toxic as a whole; beginnings of terms are no features, so a swap moves nothing else.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, taken by a hash of the id; every text is scored whole. Defined
-cases: null and empty texts have no words and get the score of the intercept; if the labels have one class or no row,
-the intercept is that of the smoothed share of toxic rows; a doc_id that labels hold twice counts with each of its rows;
-null labels and null ids teach nothing.
+cases: null and empty texts have no words and get the score of the intercept, as do texts of words that none of the labels
+tells anything of; the intercept is that of the smoothed share of toxic rows; a doc_id that labels hold twice counts with
+each of its rows; null labels and null ids teach nothing.
 """
 
 from __future__ import annotations
@@ -107,7 +107,8 @@ def swaps(rows: list[np.ndarray], words: np.ndarray) -> dict[tuple[int, int], in
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, l2: float = 0.05, counterfactual: float = 1.0, steps: int = 400) -> dict:
-    """Words, weights and intercept, from the selected words of each row."""
+    """Words, weights and intercept, from the selected words of each row. The intercept stays at the share of toxic rows: a
+    fitted one would be what clean words leave over, and would flag texts for saying nothing that the labels know."""
     n, k = len(rows), float(y.sum()) if len(y) else 0.0
     base = float(np.log((k + 0.5) / (n - k + 0.5))) if n else -2.0
     if n == 0 or k in (0.0, float(n)):
@@ -118,18 +119,17 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l2: float = 0.05, counterfactual:
     pairs = swaps([words[h] for h in held], words)
     i, j, often = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64), np.array(list(pairs.values()), np.float64)
     known = j >= 0
-    w, m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1), np.zeros(len(words) + 1)
-    w[-1] = base
+    w, m, v = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
     for t in range(1, steps + 1):  # Adam on the whole sample
-        z = np.bincount(row, weights=w[at], minlength=n) + w[-1]
+        z = np.bincount(row, weights=w[at], minlength=n) + base
         r = 1 / (1 + np.exp(-z)) - y
-        g = np.append(np.bincount(at, weights=r[row], minlength=len(words)) + l2 * w[:-1], r.sum())
+        g = np.bincount(at, weights=r[row], minlength=len(words)) + l2 * w
         change = 2 * counterfactual * often * (w[i] - np.where(known, w[j], 0.0))
         np.add.at(g, i, change)
         np.add.at(g, j[known], -change[known])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return {"words": words, "weights": w[:-1], "intercept": float(w[-1])}
+    return {"words": words, "weights": w, "intercept": base}
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 42) -> dict:
