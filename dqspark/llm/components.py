@@ -1,11 +1,40 @@
-"""Connected components of a graph in a DataFrame, by alternating stars."""
+"""Connected components of a graph in a DataFrame: by alternating stars, or in one task for up to ``FEW`` edges."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
+
+ship(__name__)
+
+#: Edges (4 MB of them) that one task unites; with more, the graph stays spread and is solved by stars.
+FEW = 1 << 18
+
+
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the least node that each reaches: roots hang on lesser roots until no edge is open."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+        still = root[x] != root[y]
+        x, y = x[still], y[still]
+    return nodes, nodes[root]
+
+
+def _united(batches) -> Iterator[pa.RecordBatch]:
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if parts:
+        found = united(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["node", "component"])
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -22,14 +51,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.filter("a < b").unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, few: int | None = None) -> DataFrame:
     """edges (a < b, longs) -> (node, component): the smallest node reachable, for every node that has an edge.
 
-    Rounds follow the logarithm of the longest path; each is two stars (Kiveris et al. 2014) with a checkpoint. Sums and
+    Up to ``few`` distinct edges, by count, are united in one task. For more, rounds follow the logarithm of the longest path; each is two stars (Kiveris et al. 2014) with a checkpoint. Sums and
     minima are taken before rows move, and the joins' hot sides can be split, so that a node with very many edges is
     no single task.
     """
     now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
+    if now.count() <= (FEW if few is None else few):
+        return cut(now.coalesce(1).mapInArrow(_united, "node long, component long"))
     state = None
     for _ in range(most_rounds):
         now = cut(_small(_large(now)))
