@@ -167,6 +167,8 @@ COMMON, MOST_COMMON = 16, 1 << 24
 COUNTED, BUCKET = 1_000_000, 1_000_000
 #: Other sets that a set is held against before all pairs that share a key.
 PARTNERS = 8
+#: First keys of a set by which a pair that shares an earlier key is known.
+HEAD = 16
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -180,9 +182,9 @@ def set_name(h: np.ndarray) -> int:
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """A bit for each bucket of hashes that holds an odd number of them, as many buckets as hashes or more, in longs: two
-    sets differ in as many hashes as their parities at least."""
-    buckets = 1 << max(6, (len(h) - 1).bit_length()) if len(h) else 64
+    """A bit for each bucket of hashes that holds an odd number of them, twice as many buckets as hashes or more, in longs:
+    two sets differ in as many hashes as their parities at least."""
+    buckets = 1 << max(6, (2 * len(h) - 1).bit_length()) if len(h) else 64
     return np.packbits(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1 == 1, bitorder="little").view(np.int64)
 
 
@@ -382,8 +384,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     of the first fifth of each (of the first ninth of the smaller): these are keys, and keys of one set only go. Common
     shingles come last in the order, so a passage of many texts is a key only of texts of hardly anything else. First each
     set is held against a few sets that share most keys with it; pairs are ruled out by sizes and parities and decided on
-    the whole sets. Then all pairs of a key that aren't in one component yet are decided in the same way: a crowded key of
-    near copies is about one component by then, and pairs whose parities differ too much are never made.
+    the whole sets. Then all pairs of a key that aren't in one component yet are decided in the same way, each at the first
+    key it shares (as far as ``HEAD`` keys tell): a crowded key of near copies is about one component by then, and pairs
+    whose parities differ too much are never made.
     """
     bound_batches(docs.sparkSession)
     own = docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
@@ -393,23 +396,27 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         keys = named.select("s", "n", F.posexplode("keys").alias("pos", "key"))
         shared = keys.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low <> high").select("key")
         multi = written(keys.join(shared, "key").distinct(), "keys")
-        sizes = written(named.join(multi.select("s").distinct(), "s").groupBy("s").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("th").alias("th")), "sizes")
+        head = F.when(F.size("keys") > 0, F.slice("keys", 1, HEAD))
+        one = [F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.first(head, ignorenulls=True).alias("head"), F.min("th").alias("th")]
+        sizes = written(named.join(multi.select("s").distinct(), "s").groupBy("s").agg(*one), "sizes")
 
         side = lambda c: sizes.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+
         tried = cut(partners(multi))
         first = cut(tried.join(side("x"), "x").join(side("y"), "y").filter(may_be_near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))).select("x", "y"))
-        edges = verified(first, sizes, own, size)
-        found = joined(edges)
+        found = joined(verified(first, sizes, own, size))
 
         placed = multi.join(found, multi.s == found.node, "left").select("key", "s", "n", "pos", F.coalesce("component", "s").alias("c"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        rest = placed.join(mixed, "key").join(sizes.select("s", "bits"), "s")
+        rest = placed.join(mixed, "key").join(sizes.select("s", "bits", "head"), "s")
         less, more = rest.filter("pos <= n - (8 * n + 8) div 9").alias("a"), rest.alias("b")
         fits = F.expr("a.key = b.key and a.c <> b.c and (a.n < b.n or a.n = b.n and a.s < b.s) and 5 * a.n >= 4 * b.n and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
         near = may_be_near(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"))
-        second = cut(less.join(more, fits & near).select(*_pair("a.s", "b.s")).distinct().join(tried, ["x", "y"], "left_anti"))
+        sooner = F.expr("arrays_overlap(slice(a.head, 1, a.pos), slice(b.head, 1, b.pos))")
+        second = cut(less.join(more, fits & near & ~sooner).select(*_pair("a.s", "b.s")).distinct().join(tried, ["x", "y"], "left_anti"))
         if not second.isEmpty():
-            found = joined(edges.unionByName(verified(second, sizes, own, size)))
+            stars = found.filter("node <> component").select(F.col("component").alias("x"), F.col("node").alias("y"))
+            found = joined(stars.unionByName(verified(second, sizes, own, size)))
 
         low = named.groupBy("s").agg(F.min("k").alias("low"))
         rooted = low.join(found, low.s == found.node, "left").select("s", "low", F.coalesce("component", "s").alias("root"))

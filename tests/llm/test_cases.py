@@ -367,3 +367,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     texts = {d[0]: d[1] for d in docs}
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
     assert all(r.text == texts[r.doc_id] and r.text_crc32 == zlib.crc32(r.text.encode()) and r.size == len(r.text.encode()) + 1 for r in got)
+
+
+# --- components
+
+
+def test_components_in_one_task_and_by_stars(spark):
+    rng = np.random.default_rng(5)
+    pairs = {tuple(sorted(p)) for p in rng.integers(-60, 60, (70, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(100, 140)}
+    least = {n: n for p in pairs for n in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    edges = spark.createDataFrame([*pairs, *list(pairs)[:9]], "a long, b long").repartition(4)
+    for few in (0, 1000):
+        assert {r.node: r.component for r in components.components(edges, few=few).distinct().collect()} == least
+        assert not components.components(edges.limit(0), few=few).count()
+
+
+def test_parities_bound_differences():
+    rng = np.random.default_rng(6)
+    assert all(len(simhash.parities(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)))) * 64 >= 2 * n for n in (1, 31, 32, 33, 500, 4097))
