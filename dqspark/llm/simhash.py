@@ -168,7 +168,9 @@ COUNTED, BUCKET = 1_000_000, 1_000_000
 #: Other sets that a set is held against before all pairs that share a key.
 PARTNERS = 8
 #: First keys of a set by which a pair that shares an earlier key is known.
-HEAD = 16
+HEAD = 4
+#: Longs of parities that go with each key of a set; those of larger sets are folded to as many.
+LOW = 32
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -195,6 +197,12 @@ def parity_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) > F.size(b), differ(half(a), b)).otherwise(differ(a, half(b)))
 
 
+def folded(bits: Column) -> Column:
+    """Parities of ``LOW`` longs at most: buckets whose low places are alike are one."""
+    one = lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(bits) / LOW).cast("int") - 1), F.lit(0).cast("long"), lambda t, j: t.bitwiseXOR(F.get(bits, i + LOW * j)))
+    return F.when(F.size(bits) <= LOW, bits).otherwise(F.transform(F.sequence(F.lit(0), F.lit(LOW - 1)), one))
+
+
 def may_be_near(n: Column, m: Column, a: Column, b: Column) -> Column:
     """What sizes and parities don't rule out: sets of n and m shingles and similarity 0.8 differ in (n + m) / 9."""
     return F.when((5 * F.least(n, m) >= 4 * F.greatest(n, m)), 9 * parity_distance(a, b) <= n + m).otherwise(F.lit(False))
@@ -408,9 +416,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
         placed = multi.join(found, multi.s == found.node, "left").select("key", "s", "n", "pos", F.coalesce("component", "s").alias("c"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        rest = placed.join(mixed, "key").join(sizes.select("s", "bits", "head"), "s")
-        less, more = rest.filter("pos <= n - (8 * n + 8) div 9").alias("a"), rest.alias("b")
-        fits = F.expr("a.key = b.key and a.c <> b.c and (a.n < b.n or a.n = b.n and a.s < b.s) and 5 * a.n >= 4 * b.n and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
+        rest = placed.join(mixed, "key").join(sizes.select("s", folded(F.col("bits")).alias("bits"), "head"), "s")
+        less, more = rest.alias("a"), rest.alias("b")  # every condition is on both, so that one exchange serves both
+        fits = F.expr("a.key = b.key and a.c <> b.c and (a.n < b.n or a.n = b.n and a.s < b.s) and 5 * a.n >= 4 * b.n and a.pos <= least(a.n, b.n) - (8 * least(a.n, b.n) + 8) div 9 and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
         near = may_be_near(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"))
         sooner = F.expr("arrays_overlap(slice(a.head, 1, a.pos), slice(b.head, 1, b.pos))")
         second = cut(less.join(more, fits & near & ~sooner).select(*_pair("a.s", "b.s")).distinct().join(tried, ["x", "y"], "left_anti"))
