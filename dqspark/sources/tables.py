@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from functools import reduce
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,13 +101,13 @@ def load(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
 
 def workbook(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """All sheets of a workbook, at most n rows of each, stacked. Sheets have a million rows at most; they are read on the
-    driver by pandas, which needs a reader of its own for them (openpyxl)."""
+    driver by pandas, which needs a reader of its own for them (openpyxl, or xlrd for .xls)."""
     import pandas as pd
 
-    try:
-        sheets = pd.read_excel(path, sheet_name=None, dtype=str, nrows=n or None)
-    except ImportError as e:
-        raise ValueError(f"workbooks need openpyxl, which isn't here; save {path} as CSV") from e
+    reader = "openpyxl" if path.lower().rstrip("/").endswith("x") else "xlrd"
+    if find_spec(reader) is None:  # said before the file is looked for
+        raise ValueError(f"workbooks need {reader}, which isn't here; save {path} as CSV")
+    sheets = pd.read_excel(path, sheet_name=None, dtype=str, nrows=n or None, engine=reader)
     frames = [alias_headers(spark.createDataFrame(x.astype(object).where(x.notna(), None), ", ".join(f"`{c}` string" for c in x.columns))) for x in sheets.values()]
     return typed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
 
