@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .features import scale
-from .order import quantile, running
+from .order import quantile, running, settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
@@ -35,14 +36,17 @@ def points(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def neighbours(x: np.ndarray, ref: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances and places of the k nearest of ref that aren't the point itself; ties by the order of ref."""
-    d = ((x[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)
-    d[(x[:, None, :] == ref[None, :, :]).all(axis=2)] = np.inf
-    at = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
-    near = np.take_along_axis(d, at, axis=1)
-    at = np.take_along_axis(at, np.argsort(near, axis=1, kind="stable"), axis=1)
-    tied = np.flatnonzero((d <= near.max(axis=1, keepdims=True)).sum(axis=1) > k)  # whole rows are sorted only there
-    at[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(d, at, axis=1), at
+    d = sum((x[:, [c]] - ref[:, c]) ** 2 for c in range(x.shape[1]))
+    row, at = np.nonzero(d == 0)  # underflow makes other points of these too
+    same = (x[row] == ref[at]).all(axis=1)
+    d[row[same], at[same]] = np.inf
+    reach = np.partition(d, k - 1, axis=1)[:, [k - 1]]
+    row, at = np.nonzero(d <= reach)  # k of a row, and all as near as the last
+    near = d[row, at]
+    order = np.lexsort((at, near, row))
+    first = np.searchsorted(row, np.arange(len(x)))
+    held = order[first[:, None] + np.arange(k)]
+    return near[held], at[held]
 
 
 def _cuts(x: np.ndarray, leaves: int) -> tuple | None:
@@ -81,75 +85,108 @@ def _size(tree: tuple | None) -> int:
     return 1 if tree is None else _size(tree[2]) + _size(tree[3])
 
 
-NEAR = "near array<struct<d2: double, q: array<double>>>"
+POINT = pa.list_(pa.float64())
+NEAR = pa.list_(pa.struct([("d2", pa.float64()), ("q", POINT)]))
 
 
-def _found(x: np.ndarray, ref: np.ndarray, k: int) -> list[list[tuple]]:
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of x as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64()))
+
+
+def _coordinates(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    """Lists of dims numbers as rows, ordered by their coordinates."""
+    flat = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+    x = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in flat.chunks)]).reshape(-1, dims)
+    return x[np.lexsort(x.T[::-1])]
+
+
+def _found(x: np.ndarray, ref: np.ndarray, k: int) -> pa.Array:
     """For each point up to k nearest of ref (itself not counted), as (squared distance, coordinates)."""
-    if not len(ref):
-        return [[] for _ in x]
-    out = []
-    for i in range(0, len(x), 256):
-        d, at = neighbours(x[i : i + 256], ref, min(k, len(ref)))
-        out += [[(float(a), ref[j].tolist()) for a, j in zip(ds, js, strict=True) if np.isfinite(a)] for ds, js in zip(d, at, strict=True)]
-    return out
+    sizes, ds, qs = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros((0, x.shape[1]))]
+    step = max(1, (1 << 21) // max(1, len(ref)))
+    for i in range(0, len(x), step):
+        if not len(ref):
+            sizes.append(np.zeros(len(x[i : i + step]), np.int64))
+            continue
+        d, at = neighbours(x[i : i + step], ref, min(k, len(ref)))
+        real = np.isfinite(d)
+        sizes.append(real.sum(axis=1))
+        ds.append(d[real])
+        qs.append(ref[at[real]])
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    near = pa.StructArray.from_arrays([pa.array(np.concatenate(ds), pa.float64()), _lists(np.concatenate(qs))], fields=list(NEAR.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near, type=NEAR)
+
+
+def _met(x: np.ndarray, reach: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a point, leaf) for the leaves whose bounds a point's reach meets."""
+    found = []
+    step = max(1, (1 << 20) // len(low))
+    for i in range(0, len(x), step):
+        own = x[i : i + step]
+        gap = sum(np.maximum(0, np.maximum(low[:, c] - own[:, [c]], own[:, [c]] - high[:, c])) ** 2 for c in range(x.shape[1]))
+        row, leaf = np.nonzero(gap <= reach[i : i + step, None])
+        found.append((row + i, leaf))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + [f[0] for f in found]), np.concatenate(none + [f[1] for f in found])
 
 
 def nearest(pts: DataFrame, columns: list[str], k: int) -> DataFrame:
     """(p, near): each distinct point and its k nearest others in order; ties by their coordinates."""
-    n = pts.count()
+    n, dims = pts.count(), len(columns)
     sample = pts.orderBy(F.xxhash64(*columns), *columns).limit(CUTS).select(*columns).collect()
-    tree = _cuts(np.array([tuple(r) for r in sample], float).reshape(-1, len(columns)), -(-n // LEAF))
-    boxes = _boxes(tree, np.full(len(columns), -np.inf), np.full(len(columns), np.inf))
+    tree = _cuts(np.array([tuple(r) for r in sample], float).reshape(-1, dims), -(-n // LEAF))
+    boxes = _boxes(tree, np.full(dims, -np.inf), np.full(dims, np.inf))
     held = pts.sparkSession.sparkContext.broadcast((tree, np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])))
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            x = pdf[columns].to_numpy(float)
-            yield pd.DataFrame({"leaf": _leaf_of(held.value[0], x), "p": x.tolist()})
-
-    def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["p"].tolist(), float)
-        x = x[np.lexsort(x.T[::-1])]
-        return pd.DataFrame({"leaf": key[0], "p": x.tolist(), "near": _found(x, x, k)})
-
-    def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, high = held.value[1:]
-        for pdf in frames:
-            rows = []
-            for leaf, p, near in zip(pdf["leaf"], pdf["p"], pdf["near"], strict=True):
-                reach = near[-1]["d2"] if len(near) == k else np.inf
-                gap = np.maximum(0, np.maximum(low - np.array(p), np.array(p) - high))
-                met = np.flatnonzero((gap**2).sum(axis=1) <= reach)
-                rows += [(int(i), p) for i in met if i != leaf]
-            yield pd.DataFrame(rows, columns=["leaf", "p"])
-
-    def visited(key, own: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
-        ref, x = (np.array(f["p"].tolist(), float).reshape(-1, len(columns)) for f in (own, guests))
-        ref = ref[np.lexsort(ref.T[::-1])]
-        return pd.DataFrame({"p": x.tolist(), "near": _found(x, ref, k)})
-
-    dealt = pts.select(*columns).mapInPandas(deal, "leaf long, p array<double>").cache()
-    own = dealt.groupBy("leaf").applyInPandas(inside, f"leaf long, p array<double>, {NEAR}").cache()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(dims)]).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(_leaf_of(held.value[0], x), pa.int64()), _lists(x)], names=["leaf", "p"])
+
+    def inside(key, own):  # no hints: Spark would want all
+        x = _coordinates(own.column("p"), dims)
+        return pa.table({"leaf": pa.array(np.full(len(x), key[0].as_py()), pa.int64()), "p": _lists(x), "near": _found(x, x, k)})
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf, near = b.column("leaf").to_numpy(), b.column("near")
+            x = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            ends, d2 = np.cumsum(near.value_lengths().to_numpy(zero_copy_only=False)), near.flatten().field("d2").to_numpy(zero_copy_only=False)
+            full = np.diff(ends, prepend=0) == k
+            reach = np.full(len(x), np.inf)
+            reach[full] = d2[ends[full] - 1]
+            row, met = _met(x, reach, *held.value[1:])
+            other = met != leaf[row]
+            yield pa.RecordBatch.from_arrays([pa.array(met[other], pa.int64()), _lists(x[row[other]])], names=["leaf", "p"])
+
+    def visited(own, guests):
+        ref, x = (_coordinates(f.column("p"), dims) for f in (own, guests))
+        return pa.table({"p": _lists(x), "near": _found(x, ref, k)})
+
+    near_type = "near array<struct<d2: double, q: array<double>>>"
+    dealt = settled(pts.select(*columns).mapInArrow(deal, "leaf long, p array<double>"))
+    own = settled(dealt.groupBy("leaf").applyInArrow(inside, f"leaf long, p array<double>, {near_type}"))
     if len(boxes) == 1:
         return own.select("p", "near")
-    guests = own.mapInPandas(visits, "leaf long, p array<double>")
-    more = dealt.groupBy("leaf").cogroup(guests.groupBy("leaf")).applyInPandas(visited, f"p array<double>, {NEAR}")
+    guests = own.mapInArrow(visits, "leaf long, p array<double>")
+    more = dealt.groupBy("leaf").cogroup(guests.groupBy("leaf")).applyInArrow(visited, f"p array<double>, {near_type}")
     both = own.select("p", "near").unionByName(more).groupBy("p").agg(F.collect_list("near").alias("all"))
     return both.select("p", F.slice(F.array_sort(F.flatten("all")), 1, k).alias("near"))
 
 
 def lof(df: DataFrame, columns: list[str], k: int = 20) -> DataFrame:
     """(columns, n, lof) for each distinct point."""
-    pts = points(df, columns).cache()
+    pts = settled(points(df, columns))
     total = pts.count()
     if total < 2:
         return pts.withColumn("lof", F.lit(1.0))
     k = max(1, min(k, total - 1))
-    near = nearest(pts, columns, k).cache()
+    near = settled(nearest(pts, columns, k))
     each = near.select("p", F.explode("near").alias("x")).select("p", F.col("x.q").alias("q"), F.sqrt("x.d2").alias("d"))
     far = near.select(F.col("p").alias("q"), F.sqrt(F.element_at("near", -1)["d2"]).alias("far"))
-    density = each.join(far, "q").groupBy("p").agg((1 / F.greatest(F.lit(1e-10), F.avg(F.greatest("d", "far")))).alias("density")).cache()
+    density = settled(each.join(far, "q").groupBy("p").agg((1 / F.greatest(F.lit(1e-10), F.avg(F.greatest("d", "far")))).alias("density")))
     around = each.join(density.withColumnsRenamed({"p": "q", "density": "theirs"}), "q").groupBy("p").agg(F.avg("theirs").alias("theirs"))
     scored = around.join(density, "p").select("p", (F.col("theirs") / F.col("density")).alias("lof"))
     named = scored.select(*(F.col("p")[i].alias(c) for i, c in enumerate(columns)), "lof")

@@ -6,6 +6,8 @@ the driver. Edges balance the ranges; results don't rest on them.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +15,18 @@ from pyspark.sql import Window as W
 BINS = 512
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df's rows in the shared folder of spark.checkpoint.dir, without the plan that made them: what reads them several times
+    has a small plan and makes nothing twice. In local mode a temporary folder stands in for a missing setting."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def _edges(df: DataFrame, column: str, most: int) -> list[float]:
     """Up to ``most`` distinct values that cut the table in about equal ranges."""
     found = df.approxQuantile(column, [i / most for i in range(1, most)], 0.25 / most) if most > 1 else []

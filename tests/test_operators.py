@@ -161,3 +161,16 @@ def test_evaluation_ranks_injected_rows_high(spark):
     assert got["either"].tp >= got["both"].tp
     one = anomaly.severity(rows, ["Quantity", "UnitPrice"], trees=50).first()
     assert one.n_rows == 400 and one.n_both <= min(one.n_if, one.n_lof)
+
+
+def test_lof_where_leaves_have_no_guests(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "LEAF", 25)
+    rng = np.random.default_rng(1)
+    x = np.unique(np.concatenate([rng.integers(0, 9, (45, 2)) + c for c in ([0, 0], [9_000, 0], [0, 70_000], [8_000, 50_000])]).astype(float), axis=0)
+    got = {(r.a, r.b): r.lof for r in anomaly.lof(spark.createDataFrame(x.tolist(), "a double, b double"), ["a", "b"], k=5).collect()}
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    own = np.take_along_axis(d, near, axis=1)
+    density = 1 / np.maximum(1e-10, np.maximum(own, own[:, -1][near]).mean(axis=1))
+    assert len(got) == len(x) and np.allclose([got[tuple(p)] for p in x.tolist()], density[near].mean(axis=1) / density)
