@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 #: Points of a leaf, and those of the sample from which the cuts are taken (they balance leaves, no result rests on them).
 LEAF, CUTS = 4_000, 20_000
+#: What outliers are injected into.
+MEASURES = ["Quantity", "UnitPrice"]
 
 
 def points(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -241,25 +243,30 @@ def isolation_forest(df: DataFrame, columns: list[str], trees: int = 200, subsam
 
 
 def flag_top(scored: DataFrame, column: str, contamination: float = 0.01) -> DataFrame:
-    scored = scored.cache()
+    scored = settled(scored)
     return scored.withColumn("is_outlier", F.col(column) > F.lit(quantile(scored, column, 1 - contamination)))
 
 
 def flag_points(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
     """(columns, n, if_score, lof, is_if, is_lof) for each distinct point; the forest's cut is by rows, the factor's by points."""
-    forest = isolation_forest(df, columns, trees).withColumnRenamed("score", "if_score").cache()
-    factor = lof(df, columns).drop("n").cache()
+    forest = settled(isolation_forest(df, columns, trees).withColumnRenamed("score", "if_score"))
+    factor = settled(lof(df, columns).drop("n"))
     if_cut, lof_cut = quantile(forest, "if_score", 1 - contamination, "n"), quantile(factor, "lof", 1 - contamination)
     return forest.join(factor, columns).withColumns({"is_if": F.col("if_score") > F.lit(if_cut), "is_lof": F.col("lof") > F.lit(lof_cut)})
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows without a gap in the columns, which have mean 0 and deviation 1."""
-    return scale(df.dropna(subset=columns), columns).drop(*columns).withColumnsRenamed({f"{c}_scaled": c for c in columns})
+    return settled(scale(df.dropna(subset=columns), columns).drop(*columns).withColumnsRenamed({f"{c}_scaled": c for c in columns}))
+
+
+def _own(df: DataFrame, columns: list[str]) -> DataFrame:
+    return settled(df.select(*(["row_id"] if "row_id" in df.columns else []), *columns))
 
 
 def severity(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
     """One row: n_rows, rows that each model and both flag, and anomaly_severity (0 to 100, the share that both flag)."""
+    df = _own(df, columns)
     flagged = flag_points(standardised(df, columns), columns, contamination, trees)
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     one = flagged.agg(n(F.col("is_if")).alias("n_if"), n(F.col("is_lof")).alias("n_lof"), n(F.col("is_if") & F.col("is_lof")).alias("n_both"))
@@ -271,13 +278,13 @@ def evaluate(df: DataFrame, columns: list[str], contamination: float = 0.01, tre
     """(model, tp, fp, fn, tn, precision, recall, f1, auc, precision_at_k) on rows with injected outliers: each model, rows
     that either or both flag (scored by the mean of the percent ranks). K is the number of injected rows; rows tied at the
     K-th place count by their share."""
-    rows = standardised(inject(df), columns).cache()
-    flagged = combined_rank(flag_points(rows, columns, contamination, trees).cache(), "if_score", "lof", "n")
+    rows = standardised(settled(inject(_own(df, MEASURES))), columns)
+    flagged = settled(combined_rank(settled(flag_points(rows, columns, contamination, trees)), "if_score", "lof", "n"))
     scored = rows.select("label", *columns).join(flagged.drop("n"), columns)
     models = {"isolation_forest": ("if_score", F.col("is_if")), "lof": ("lof", F.col("is_lof")), "either": ("combined", F.col("is_if") | F.col("is_lof")), "both": ("combined", F.col("is_if") & F.col("is_lof"))}
     each = scored.select("label", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(s).alias("score"), f.alias("flag")) for m, (s, f) in models.items()))).alias("x")).select("label", "x.*")
     hit = F.col("label") == 1
-    by = each.groupBy("model", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"), F.count_if(hit & F.col("flag")).alias("tp"), F.count_if(~hit & F.col("flag")).alias("fp")).cache()
+    by = settled(each.groupBy("model", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"), F.count_if(hit & F.col("flag")).alias("tp"), F.count_if(~hit & F.col("flag")).alias("fp")))
     totals = F.broadcast(by.groupBy("model").agg(F.sum("pos").alias("k"), F.sum("neg").alias("all_neg")))  # four rows
     ranked = running(by, "score", ["pos", "neg"], ["model"]).join(totals, "model")
     ranked = ranked.withColumns({"pos_above": F.col("k") - F.col("pos_below") - F.col("pos"), "neg_above": F.col("all_neg") - F.col("neg_below") - F.col("neg")})
@@ -291,7 +298,7 @@ def evaluate(df: DataFrame, columns: list[str], contamination: float = 0.01, tre
 
 def recall_by_model(df: DataFrame, columns: list[str], contamination: float = 0.01, trees: int = 200) -> DataFrame:
     """(model, anomaly_type, n, recall) on injected rows, at the models' own cuts."""
-    rows = standardised(inject(df), columns).cache()
+    rows = standardised(settled(inject(_own(df, MEASURES))), columns)
     flagged = flag_points(rows, columns, contamination, trees)
     hits = rows.filter("label = 1").select("anomaly_type", *columns).join(flagged, columns)
     models = {"isolation_forest": F.col("is_if"), "lof": F.col("is_lof"), "either": F.col("is_if") | F.col("is_lof"), "both": F.col("is_if") & F.col("is_lof")}

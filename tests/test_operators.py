@@ -174,3 +174,10 @@ def test_lof_where_leaves_have_no_guests(spark, monkeypatch):
     own = np.take_along_axis(d, near, axis=1)
     density = 1 / np.maximum(1e-10, np.maximum(own, own[:, -1][near]).mean(axis=1))
     assert len(got) == len(x) and np.allclose([got[tuple(p)] for p in x.tolist()], density[near].mean(axis=1) / density)
+
+
+def test_evaluation_keeps_its_plan_small(spark):
+    rows = spark.range(300).selectExpr("id as row_id", "cast(id % 17 + 1 as double) as Quantity", "cast(id % 13 + 1 as double) as UnitPrice")
+    for f in (anomaly.evaluate, anomaly.recall_by_model, anomaly.severity):
+        df = f(rows, ["Quantity", "UnitPrice"], trees=20)
+        assert len(df._jdf.queryExecution().toString()) < 60_000 and df.count(), f.__name__
