@@ -135,7 +135,7 @@ def infer_semantic(df: DataFrame) -> DataFrame:
     rate = lambda c: (F.col(c) >= 0.9 * n) & (n > 0)
     known = F.create_map(*(F.lit(x) for kv in SEMANTICS.items() for x in kv))[F.col("column")]
     kind = F.when(known.isNotNull(), known).when((t == "date") | name.rlike("date|time"), "datetime").when(t == "boolean", "boolean_flag")
-    kind = kind.when((F.col("n_email") == n) & (n > 0), "email").when(rate("n_url"), "url").when(rate("n_phone"), "phone")
+    kind = kind.when((F.col("n_email") == n) & (n > 0), "email").when(rate("n_url"), "url").when(rate("n_phone") & _stored(df, "string"), "phone")  # digits and a point are a number's too
     kind = kind.when(name.rlike("price|amount|cost|total"), "price/amount").when(name.rlike("qty|quantity|count"), "quantity").when(name.rlike("(^|_)(id|no|code|key)$|^sku$"), "id/code").when(name.contains("name"), "name")
     kind = kind.when((t == "string") & (F.col("n_unique") <= F.greatest(F.lit(50.0), 0.05 * F.col("n_rows"))), "category").when(t.isin("int", "float"), "numeric_measure").otherwise("text")
     return s.select("column", kind.alias("semantic"))

@@ -181,3 +181,8 @@ def test_evaluation_keeps_its_plan_small(spark):
     for f in (anomaly.evaluate, anomaly.recall_by_model, anomaly.severity):
         df = f(rows, ["Quantity", "UnitPrice"], trees=20)
         assert len(df._jdf.queryExecution().toString()) < 60_000 and df.count(), f.__name__
+
+
+def test_numbers_are_no_phones(spark):
+    df = spark.createDataFrame([(123456.78 + i, 1234567 + i, "555-123-45%02d" % i) for i in range(20)], "order_total double, order_key_no_ long, contact string")
+    assert {r["column"]: r.semantic for r in profile.infer_semantic(df).collect()} == {"order_total": "price/amount", "order_key_no_": "numeric_measure", "contact": "phone"}
