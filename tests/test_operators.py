@@ -164,9 +164,10 @@ def test_evaluation_ranks_injected_rows_high(spark):
 
 
 def test_lof_where_leaves_have_no_guests(spark, monkeypatch):
-    monkeypatch.setattr(anomaly, "LEAF", 25)
+    monkeypatch.setattr(anomaly, "LEAF", 40)  # a leaf for each cluster
     rng = np.random.default_rng(1)
-    x = np.unique(np.concatenate([rng.integers(0, 9, (45, 2)) + c for c in ([0, 0], [9_000, 0], [0, 70_000], [8_000, 50_000])]).astype(float), axis=0)
+    x = np.concatenate([np.stack(np.divmod(rng.permutation(81)[:n], 9), 1) + c for n, c in ((40, [0, 0]), (40, [9_000, 0]), (40, [0, 70_000]), (40, [8_000, 50_000]))]).astype(float)
+    x = x[np.lexsort(x.T[::-1])]
     got = {(r.a, r.b): r.lof for r in anomaly.lof(spark.createDataFrame(x.tolist(), "a double, b double"), ["a", "b"], k=5).collect()}
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
