@@ -388,3 +388,31 @@ def test_components_in_one_task_and_by_stars(spark):
 def test_parities_bound_differences():
     rng = np.random.default_rng(6)
     assert all(len(simhash.parities(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)))) * 64 >= 2 * n for n in (1, 31, 32, 33, 500, 4097))
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_a_link_that_the_chain_of_its_landmark_passes_over(spark, monkeypatch, hot):
+    rng = np.random.default_rng(6)
+    a, apart = rng.integers(0, 2**32, 30, dtype=np.uint32), [rng.integers(0, 2**32, 30, dtype=np.uint32) for _ in range(4)]
+    fps = [a, *apart, a ^ np.uint32(1)]  # 0 and 5 are near copies; the others share a landmark with both
+    rows = [(i, f.tobytes()) for i, f in enumerate(fps)]
+    monkeypatch.setattr(chroma, "HOT", hot)
+    marks = spark.createDataFrame([(7, i, 3) for i in range(6)], "mark long, k long, at int")
+    alone = spark.createDataFrame([], "node long, component long")
+    got = chroma.across(marks, alone, spark.createDataFrame(rows, "k long, fp binary")).select("k", "to", "offset").distinct().collect()
+    assert [tuple(r) for r in got] == [(5, 0, 0)]
+    assert (5, 0) not in {(r.k, r.to) for r in chroma.chained(marks).collect()}
+
+
+def test_recordings_of_one_class_though_the_chain_parts_them(spark, monkeypatch):
+    t = np.arange(4_000) / 8000
+    tune = lambda notes: np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (n / 12) * t) for n in notes])
+    pcm = lambda x: (x * 100 + 128).clip(0, 255).astype(np.uint8).tobytes()
+    near = [0, 4, 7, 2, 9, 5, 3, 11]
+    media = [tune(near), tune([6, 1, 8, 10, 1, 6, 10, 8]), tune(near[:-1] + [10])]
+    fps = [chroma.integers(chroma.chroma(pcm(x))) for x in media]
+    monkeypatch.setattr(chroma, "landmarks", lambda fp: np.array([40]))  # one place, made common to all below
+    monkeypatch.setattr(chroma, "integers", lambda c, real=chroma.integers: np.where(np.arange(max(0, len(c) - chroma.SPAN + 1)) == 40, 9, real(c)).astype(np.uint32))
+    assert len({len(f) for f in fps}) == 1
+    got = {r.doc_id: r.class_id for r in chroma.match(spark.createDataFrame([(i, pcm(x)) for i, x in enumerate(media)], "doc_id long, media binary"), "media").collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
