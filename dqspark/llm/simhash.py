@@ -384,6 +384,16 @@ def partners(multi: DataFrame) -> DataFrame:
     return ranked.select(*_pair("s", "t")).distinct()
 
 
+def alike(own: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (x, y) of sets whose texts' fingerprints link; sets of one fingerprint are paired with the least of them."""
+    placed = cut(fingerprints(own, keep=["th"]).join(sizes.select("th", "s"), "th").select("s", F.col("_fp").alias("fp")).distinct())
+    least = cut(placed.groupBy("fp").agg(F.min("s").alias("t")))
+    one = placed.join(least, "fp").filter("s <> t").select("s", "t")
+    side = lambda c, t: least.select(F.col("fp").alias(c), F.col("t").alias(t))
+    two = links(least.select("fp")).join(side("x", "s"), "x").join(side("y", "t"), "y").select("s", "t")
+    return one.unionByName(two).select(*_pair("s", "t")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """(k, component) for documents whose component of near copies (similarity 0.8 or more on the sets of shingles of five
     words) has a smaller id; k is doc_key().
@@ -391,7 +401,8 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     Exact, whatever the number of texts. Equal sets are one. In any order of all shingles, sets of similarity 0.8 share one
     of the first fifth of each (of the first ninth of the smaller): these are keys, and keys of one set only go. Common
     shingles come last in the order, so a passage of many texts is a key only of texts of hardly anything else. First each
-    set is held against a few sets that share most keys with it; pairs are ruled out by sizes and parities and decided on
+    set is held against those that its SimHash fingerprint links it to (three differing bits) and a few sets that share most
+    keys with it; pairs are ruled out by sizes and parities and decided on
     the whole sets. Then all pairs of a key that aren't in one component yet are decided in the same way, each at the first
     key it shares (as far as ``HEAD`` keys tell): a crowded key of near copies is about one component by then, and pairs
     whose parities differ too much are never made.
@@ -410,7 +421,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
         side = lambda c: sizes.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
 
-        tried = cut(partners(multi))
+        tried = cut(alike(own, sizes).unionByName(partners(multi)).distinct())
         first = cut(tried.join(side("x"), "x").join(side("y"), "y").filter(may_be_near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))).select("x", "y"))
         found = joined(verified(first, sizes, own, size))
 

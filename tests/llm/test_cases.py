@@ -416,3 +416,13 @@ def test_recordings_of_one_class_though_the_chain_parts_them(spark, monkeypatch)
     assert len({len(f) for f in fps}) == 1
     got = {r.doc_id: r.class_id for r in chroma.match(spark.createDataFrame([(i, pcm(x)) for i, x in enumerate(media)], "doc_id long, media binary"), "media").collect()}
     assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_near_copies_are_sought_by_fingerprints_first(spark, monkeypatch):
+    words, asked = [f"w{i}" for i in range(400)], []
+    texts = [" ".join(words), " ".join([*words, "end"]), prose(300)]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 3
+    monkeypatch.setattr(simhash, "partners", lambda multi: multi.select(F.col("s").alias("x"), F.col("s").alias("y")).limit(0))
+    monkeypatch.setattr(simhash, "verified", lambda open_, *x, real=simhash.verified: asked.append(open_.count()) or real(open_, *x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.k, r.component) for r in simhash.near_duplicates(df).collect()] == [(1, 0)] and asked == [1]
