@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import NULL_ID, Out, batch_of, bound_batches, columns, cut, doc_key, given_back, mix64, own_columns, rows_of, scratch, ship, window_hashes, word_hashes, written
+from .common import NULL_ID, Out, batch_of, bound_batches, columns, cut, doc_key, freed, given_back, mix64, own_columns, rows_of, scratch, ship, window_hashes, word_hashes, written
 from .components import components
 
 ship(__name__)
@@ -167,8 +167,8 @@ COMMON, MOST_COMMON = 16, 1 << 24
 COUNTED, BUCKET = 1_000_000, 1_000_000
 #: Other sets that a set is held against before all pairs that share a key.
 PARTNERS = 8
-#: First keys of a set by which a pair that shares an earlier key is known.
-HEAD = 4
+#: First open keys of a set (of those that sets of other components share) by which a pair that shares an earlier key is known.
+HEAD = 8
 #: Longs of parities that go with each key of a set; those of larger sets are folded to as many.
 LOW = 32
 
@@ -394,6 +394,21 @@ def alike(own: DataFrame, sizes: DataFrame) -> DataFrame:
     return one.unionByName(two).select(*_pair("s", "t")).distinct()
 
 
+def open_pairs(multi: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (x, y) of sets that share a key, aren't in one component and may be near, each at the first key it shares. Keys
+    that no set of another component has are no one's first: a text's own words would fill its ``HEAD`` and tell nothing."""
+    placed = multi.join(found, multi.s == found.node, "left").select("key", "s", "n", "pos", F.coalesce("component", "s").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    by_set = W.partitionBy("s").orderBy("pos")
+    ranked = placed.join(mixed, "key").select("*", F.row_number().over(by_set).alias("i"), F.collect_list("key").over(by_set.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("open"))
+    before = ranked.select("key", "s", "n", "pos", "c", F.slice("open", F.lit(1), F.least(F.col("i") - 1, F.lit(HEAD))).alias("before"))
+    rest = before.join(sizes.select("s", folded(F.col("bits")).alias("bits")), "s")
+    less, more = rest.alias("a"), rest.alias("b")  # every condition is on both, so that one exchange serves both
+    fits = F.expr("a.key = b.key and a.c <> b.c and (a.n < b.n or a.n = b.n and a.s < b.s) and 5 * a.n >= 4 * b.n and a.pos <= least(a.n, b.n) - (8 * least(a.n, b.n) + 8) div 9 and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
+    near = may_be_near(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"))
+    return less.join(more, fits & near & ~F.expr("arrays_overlap(a.before, b.before)")).select(*_pair("a.s", "b.s"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """(k, component) for documents whose component of near copies (similarity 0.8 or more on the sets of shingles of five
     words) has a smaller id; k is doc_key().
@@ -404,7 +419,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     set is held against those that its SimHash fingerprint links it to (three differing bits) and a few sets that share most
     keys with it; pairs are ruled out by sizes and parities and decided on
     the whole sets. Then all pairs of a key that aren't in one component yet are decided in the same way, each at the first
-    key it shares (as far as ``HEAD`` keys tell): a crowded key of near copies is about one component by then, and pairs
+    open key it shares (as far as ``HEAD`` of them tell): a crowded key of near copies is about one component by then, and pairs
     whose parities differ too much are never made.
     """
     bound_batches(docs.sparkSession)
@@ -415,25 +430,20 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         keys = named.select("s", "n", F.posexplode("keys").alias("pos", "key"))
         shared = keys.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low <> high").select("key")
         multi = written(keys.join(shared, "key").distinct(), "keys")
-        head = F.when(F.size("keys") > 0, F.slice("keys", 1, HEAD))
-        one = [F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.first(head, ignorenulls=True).alias("head"), F.min("th").alias("th")]
+        one = [F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("th").alias("th")]
         sizes = written(named.join(multi.select("s").distinct(), "s").groupBy("s").agg(*one), "sizes")
+        freed(docs.sparkSession)
 
         side = lambda c: sizes.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
 
         tried = cut(alike(own, sizes).unionByName(partners(multi)).distinct())
         first = cut(tried.join(side("x"), "x").join(side("y"), "y").filter(may_be_near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))).select("x", "y"))
         found = joined(verified(first, sizes, own, size))
+        freed(docs.sparkSession)
 
-        placed = multi.join(found, multi.s == found.node, "left").select("key", "s", "n", "pos", F.coalesce("component", "s").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        rest = placed.join(mixed, "key").join(sizes.select("s", folded(F.col("bits")).alias("bits"), "head"), "s")
-        less, more = rest.alias("a"), rest.alias("b")  # every condition is on both, so that one exchange serves both
-        fits = F.expr("a.key = b.key and a.c <> b.c and (a.n < b.n or a.n = b.n and a.s < b.s) and 5 * a.n >= 4 * b.n and a.pos <= least(a.n, b.n) - (8 * least(a.n, b.n) + 8) div 9 and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
-        near = may_be_near(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"))
-        sooner = F.expr("arrays_overlap(slice(a.head, 1, a.pos), slice(b.head, 1, b.pos))")
-        second = cut(less.join(more, fits & near & ~sooner).select(*_pair("a.s", "b.s")).distinct().join(tried, ["x", "y"], "left_anti"))
+        second = cut(open_pairs(multi, found, sizes).distinct().join(tried, ["x", "y"], "left_anti"))
         if not second.isEmpty():
+            freed(docs.sparkSession)
             stars = found.filter("node <> component").select(F.col("component").alias("x"), F.col("node").alias("y"))
             found = joined(stars.unionByName(verified(second, sizes, own, size)))
 

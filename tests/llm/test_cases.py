@@ -426,3 +426,13 @@ def test_near_copies_are_sought_by_fingerprints_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "verified", lambda open_, *x, real=simhash.verified: asked.append(open_.count()) or real(open_, *x))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [(r.k, r.component) for r in simhash.near_duplicates(df).collect()] == [(1, 0)] and asked == [1]
+
+
+def test_a_pair_is_made_at_the_first_open_key_it_shares(spark):
+    """Two sets of 100 shingles: eight keys of their own first, then one of their component's, then twelve that both have."""
+    rows = [(key, s, 100, pos) for s in (1, 2) for pos, key in enumerate([*range(1000 * s, 1000 * s + 8), 500 + s, *range(12)])]
+    rows += [(500 + s, 10 + s, 100, 0) for s in (1, 2)]
+    multi = spark.createDataFrame(rows, "key long, s long, n int, pos int")
+    found = spark.createDataFrame([(s, c) for c in (1, 2) for s in (c, 10 + c)], "node long, component long")
+    sizes = spark.createDataFrame([(s, 100, [0] * 4, list(range(1000 * s, 1000 * s + 4))) for s in (1, 2, 11, 12)], "s long, n int, bits array<long>, head array<long>")
+    assert [(r.x, r.y) for r in simhash.open_pairs(multi, found, sizes).collect()] == [(1, 2)]
