@@ -436,3 +436,11 @@ def test_a_pair_is_made_at_the_first_open_key_it_shares(spark):
     found = spark.createDataFrame([(s, c) for c in (1, 2) for s in (c, 10 + c)], "node long, component long")
     sizes = spark.createDataFrame([(s, 100, [0] * 4, list(range(1000 * s, 1000 * s + 4))) for s in (1, 2, 11, 12)], "s long, n int, bits array<long>, head array<long>")
     assert [(r.x, r.y) for r in simhash.open_pairs(multi, found, sizes).collect()] == [(1, 2)]
+
+
+def test_the_chain_is_freed_before_all_pairs(spark, monkeypatch):
+    calls, real = [], chroma.across
+    monkeypatch.setattr(chroma, "freed", lambda s: calls.append("freed"))
+    monkeypatch.setattr(chroma, "across", lambda *a: calls.append("across") or real(*a))
+    chroma.match(spark.createDataFrame([(1, "a" * 4000)], "doc_id long, text string")).count()
+    assert calls[:2] == ["freed", "across"]
